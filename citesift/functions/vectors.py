@@ -1,0 +1,31 @@
+"""Vector column expressions (PRJ-11) evaluated inside the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _as_double_array(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c.cast("array<double>")
+
+
+def dot(a: Column | str, b: Column | str) -> Column:
+    prod = F.zip_with(_as_double_array(a), _as_double_array(b), lambda x, y: x * y)
+    return F.aggregate(prod, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+
+
+def l2sq(a: Column | str, b: Column | str) -> Column:
+    """Squared Euclidean distance (the local store's default metric)."""
+    diff = F.zip_with(_as_double_array(a), _as_double_array(b), lambda x, y: (x - y) * (x - y))
+    return F.aggregate(diff, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+
+
+def norm(a: Column | str) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine_distance(a: Column | str, b: Column | str) -> Column:
+    """``1 - cosine similarity``, how the hosted store reports distance."""
+    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
