@@ -35,6 +35,7 @@ def _load_all() -> None:
     # import order fixes registry order
     from citesift.catalog import (  # noqa: F401
         retrieval,
+        loop,
     )
 
 
