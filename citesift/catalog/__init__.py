@@ -36,6 +36,7 @@ def _load_all() -> None:
     from citesift.catalog import (  # noqa: F401
         retrieval,
         loop,
+        corpus,
     )
 
 

@@ -215,7 +215,7 @@ def precision_at_k(spark, sf_dir):
 
 
 @query("eval_summary", sql=f"""{WITH_LOOP}
-SELECT mode, count(*) AS n_claims, count_if(status = 'answered') AS n_answered,
+SELECT mode, count(*) AS n_claims, CAST(count_if(status = 'answered') AS BIGINT) AS n_answered,
        round(coalesce(avg(precision), 0.0), 4) AS citation_precision_at_k,
        round(coalesce(avg(iterations), 0.0), 2) AS avg_iterations
 FROM scored GROUP BY mode""")
@@ -226,7 +226,7 @@ def eval_summary(spark, sf_dir):
 
 
 @query("hit_rate", sql=f"""{WITH_LOOP}
-SELECT mode, count(*) AS n_claims, count_if(precision > 0) AS n_hit,
+SELECT mode, count(*) AS n_claims, CAST(count_if(precision > 0) AS BIGINT) AS n_hit,
        round(count_if(precision > 0) / count(*), 4) AS hit_rate,
        round(sum(n_hits) / sum(n_truth), 4) AS clause_recall
 FROM scored GROUP BY mode""")
@@ -240,7 +240,7 @@ def hit_rate(spark, sf_dir):
 @query("retrieval_gate", sql=f"""{WITH_LOOP},
 hit AS (SELECT g.claim_id, bool_or(list_contains(g.ground_truth, k.id)) AS found
         FROM golden g LEFT JOIN knn k ON k.claim_id = g.claim_id AND k.iteration = 1 GROUP BY g.claim_id)
-SELECT count(*) AS n_claims, count_if(found) AS n_found, round(count_if(found) / count(*), 4) AS share,
+SELECT count(*) AS n_claims, CAST(count_if(found) AS BIGINT) AS n_found, round(count_if(found) / count(*), 4) AS share,
        count_if(found) / count(*) >= 0.8 AS passed
 FROM hit""")
 def retrieval_gate(spark, sf_dir):
@@ -305,7 +305,7 @@ def golden_set_check(spark, sf_dir):
 
 @query("dangling_citations", sql=f"""{WITH_LOOP},
 cit AS (SELECT mode, unnest(citations) AS id FROM modes)
-SELECT mode, count(*) AS n_citations, count_if(id NOT IN (SELECT id FROM c)) AS n_dangling
+SELECT mode, count(*) AS n_citations, CAST(count_if(id NOT IN (SELECT id FROM c)) AS BIGINT) AS n_dangling
 FROM cit GROUP BY mode""")
 def dangling_citations(spark, sf_dir):
     """JON-6: citations that are not clause ids of the corpus (the reference hard-codes this check)."""
@@ -320,10 +320,10 @@ def dangling_citations(spark, sf_dir):
 
 
 @query("terminal_status", sql=f"""{WITH_LOOP}
-SELECT count(*) AS n_claims, count_if(status = 'answered') AS n_answered,
-       count_if(status = 'budget_exhausted') AS n_budget_exhausted, count_if(status = 'failed') AS n_failed,
-       count_if(status IN ('answered', 'budget_exhausted')) AS n_terminal_strict,
-       count_if(status IN ('answered', 'budget_exhausted', 'failed')) AS n_terminal_all
+SELECT count(*) AS n_claims, CAST(count_if(status = 'answered') AS BIGINT) AS n_answered,
+       CAST(count_if(status = 'budget_exhausted') AS BIGINT) AS n_budget_exhausted, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed,
+       CAST(count_if(status IN ('answered', 'budget_exhausted')) AS BIGINT) AS n_terminal_strict,
+       CAST(count_if(status IN ('answered', 'budget_exhausted', 'failed')) AS BIGINT) AS n_terminal_all
 FROM outcome""")
 def terminal_status(spark, sf_dir):
     """FLT-5: terminal statuses; the strict count leaves out ``failed`` as the reference's check does (Q11)."""
