@@ -37,6 +37,7 @@ def _load_all() -> None:
         retrieval,
         loop,
         corpus,
+        attempts,
     )
 
 
