@@ -38,6 +38,7 @@ def _load_all() -> None:
         loop,
         corpus,
         attempts,
+        prompts,
     )
 
 

@@ -85,14 +85,23 @@ def first_line(c) -> Column:
 
 
 # ---- provider-side text ----------------------------------------------------------------------------
+# whitespace as Python's str.strip() sees it (ASCII controls, separators, NEL and Unicode spaces)
+PY_WHITESPACE = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}]"
+
+
+def py_strip(c) -> Column:
+    """Trim leading and trailing whitespace the way ``str.strip()`` does."""
+    return F.regexp_replace(_c(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+
+
 def strip_reasoning(c) -> Column:
     """PRJ-6: drop ``<think>...</think>`` blocks (non-greedy, across lines), trim; null -> ''."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?s)<think>.*?</think>", ""))
+    return py_strip(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?s)<think>.*?</think>", ""))
 
 
 def clean_rewrite(raw, question) -> Column:
     """PRJ-7: strip whitespace, strip quotes, cut to 200 chars; empty -> the original question."""
-    stripped = F.btrim(F.btrim(_c(raw), F.lit(" \t\n\r\x0b\x0c")), F.lit('"'))
+    stripped = F.btrim(py_strip(raw), F.lit('"'))
     cut = F.substring(stripped, 1, REWRITE_MAX_CHARS)
     return F.coalesce(F.nullif(cut, F.lit("")), _c(question))
 
@@ -105,10 +114,19 @@ def deterministic_completion(prompt) -> Column:
                               F.array().cast("array<string>").alias("citations")))
 
 
+def python_str_repr(s: Column) -> Column:
+    """``repr()`` of a string: single quotes unless it holds ' and no "; backslash, newline, CR, tab escaped."""
+    esc = s
+    for raw, rep in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(raw), F.lit(rep))
+    double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def python_list_literal(arr) -> Column:
-    """Render an array<string> the way a Python list prints: ['a', 'b'] (quotes escaped naively)."""
-    quoted = F.transform(_c(arr), lambda s: F.concat(F.lit("'"), s, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """Render an array<string> the way a Python list prints: ['a', 'b']."""
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), python_str_repr), ", "), F.lit("]"))
 
 
 def reformulation_prompt(question, prior_queries) -> Column:
