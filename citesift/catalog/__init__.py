@@ -39,6 +39,7 @@ def _load_all() -> None:
         corpus,
         attempts,
         prompts,
+        quality,
     )
 
 

@@ -20,7 +20,7 @@ def read_policies_json(spark: SparkSession, path: str, multiline: bool = False)
 
 def read_text_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """SRC-2: one row per file (whole text) with its file name, in name order; an empty folder is an error."""
-    df = (spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    df = (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
           .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
     if df.isEmpty():
         raise FileNotFoundError(f"no {glob} documents under {path}")
