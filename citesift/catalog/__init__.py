@@ -40,6 +40,7 @@ def _load_all() -> None:
         attempts,
         prompts,
         quality,
+        streams,
     )
 
 
