@@ -347,3 +347,16 @@ def run_scoped_ids(spark, sf_dir):
             .select("claim_id", "mode",
                     F.concat_ws("-", F.concat(F.lit("claim"), F.col("claim_id").cast("string")), F.col("mode"),
                                 F.lit(RUN_ID)).alias("run_claim_id")))
+
+
+@query("agentic_loop_rounds", sql=f"""{WITH_LOOP}
+SELECT claim_id, status, iterations, tokens_spent, array_to_string(citations, ',') AS citations FROM outcome""")
+def agentic_loop_rounds(spark, sf_dir):
+    """JOB-3 executed round by round with a shrinking active set; must equal the closed form."""
+    from citesift.plans.rounds import run_loop_rounds
+    emb, q, c = _tables(spark, sf_dir)
+
+    def knn(qq, cc):
+        return knn_join(qq, cc, 5, query_keys=["claim_id", "iteration"], corpus_key="id")
+    out = run_loop_rounds(cl.claims(emb), q, c, knn)
+    return out.select("claim_id", "status", "iterations", "tokens_spent", _cites_str().alias("citations"))

@@ -195,3 +195,15 @@ def fused_with_metadata(spark, sf_dir):
     top = fusion.fused_order(fused_all(spark, sf_dir), ["claim_id"], n=3)
     return fusion.attach_payload(top.select("claim_id", "fused_rank", "id"), meta).select(
         "claim_id", "fused_rank", "id", "clause_label", "clause_id")
+
+
+@query("knn_lsh_recall")
+def knn_lsh_recall(spark, sf_dir):
+    """JON-3: approximate top-5 by random-hyperplane buckets (exact ranking inside buckets), with its
+    recall@5 against the exact join per query.  Rows only: the buckets depend on the random planes."""
+    from citesift.operators.lsh import knn_lsh, recall_at_k
+    emb = read_table(spark, sf_dir, "embeddings")
+    q, c = cl.query_vectors(emb), cl.corpus_vectors(emb)
+    approx = knn_lsh(q, c, K_LOOP, query_keys=["claim_id", "iteration"], corpus_key="id", dim=64)
+    exact = loop_hits(spark, sf_dir)
+    return recall_at_k(approx, exact, ["claim_id", "iteration"])

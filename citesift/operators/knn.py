@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 METRICS = ("l2sq", "cosine")
 ROUND_DIGITS = 9
@@ -87,7 +86,6 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = queries.sparkSession
     q = queries.where(F.col(vector_col).isNotNull())
     c = corpus.where(F.col(vector_col).isNotNull())
     passthrough: list[str] = []
@@ -97,10 +95,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
         n_q = q.count()
         c_blocks = max(1, math.ceil(n_c / corpus_block_rows))
         q_blocks = max(1, math.ceil(n_q / query_block_rows))
-        qg = (q.select(*query_keys, vector_col)
+        # fresh aliases: both sides often come from one table, and the cogroup must tell them apart
+        qg = (q.select(*[F.col(x).alias(x) for x in [*query_keys, vector_col]])
               .withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(q_blocks)))
               .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
-        cg = (c.select(corpus_key, vector_col)
+        cg = (c.select(*[F.col(x).alias(x) for x in [corpus_key, vector_col]])
               .withColumn("_cb", F.pmod(F.xxhash64(corpus_key), F.lit(c_blocks)))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
         cell = ["_qb", "_cb"]
