@@ -28,15 +28,16 @@ def sql_order_policies(v: int) -> str:
   SELECT l_orderkey, list(line ORDER BY l_linenumber, line) AS lines FROM (
     SELECT l_orderkey, l_linenumber,
            concat_ws('|', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
-             CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity + {bump} AS DECIMAL(18,2)) AS VARCHAR),
-             CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR),
-             CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR), l_returnflag, l_linestatus) AS line
+             CAST(l_suppkey AS VARCHAR), CAST(CAST(round((l_quantity + {bump}) * 100) AS BIGINT) AS VARCHAR),
+             CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
+             CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR),
+             CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR), l_returnflag, l_linestatus) AS line
     FROM lineitem)
   GROUP BY l_orderkey),
 p{v} AS (
   SELECT o.o_orderkey AS policy_id, coalesce(l.lines, []::VARCHAR[]) AS lines,
          sha256(concat_ws('|', CAST(o.o_custkey AS VARCHAR), o.o_orderstatus,
-                          CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR), o.o_orderpriority)
+                          CAST(CAST(round(o.o_totalprice * 100) AS BIGINT) AS VARCHAR), o.o_orderpriority)
                 || chr(10) || coalesce(array_to_string(l.lines, chr(10)), '')) AS digest
   FROM orders o LEFT JOIN li{v} l ON l.l_orderkey = o.o_orderkey WHERE {keep})"""
 

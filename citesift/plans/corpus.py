@@ -72,8 +72,10 @@ def policy_digest(policies: DataFrame) -> DataFrame:
 
 
 # ---- orders + lineitem as policies ------------------------------------------------------------------
-def _dec(c):
-    return F.col(c).cast("decimal(18,2)").cast("string")
+def _cents(c):
+    """Money and rates in whole hundredths: exact, cheap to format, identical in any engine."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col * 100).cast("bigint").cast("string")
 
 
 def order_lines(lineitem: DataFrame, version: int) -> DataFrame:
@@ -82,8 +84,8 @@ def order_lines(lineitem: DataFrame, version: int) -> DataFrame:
     if version == 2:
         qty = F.when(F.col("l_orderkey") % 7 == 0, qty + 1).otherwise(qty)
     line = F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
-                       F.col("l_suppkey").cast("string"), qty.cast("decimal(18,2)").cast("string"),
-                       _dec("l_extendedprice"), _dec("l_discount"), _dec("l_tax"), "l_returnflag", "l_linestatus")
+                       F.col("l_suppkey").cast("string"), _cents(qty),
+                       _cents("l_extendedprice"), _cents("l_discount"), _cents("l_tax"), "l_returnflag", "l_linestatus")
     return lineitem.select("l_orderkey", "l_linenumber", line.alias("line"))
 
 
@@ -96,7 +98,7 @@ def order_policies(orders: DataFrame, lineitem: DataFrame, version: int) -> Data
     lines = (order_lines(lineitem, version).groupBy("l_orderkey")
              .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("_l"))
              .select(F.col("l_orderkey").alias("policy_id"), F.transform("_l", lambda s: s["line"]).alias("lines")))
-    header = F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", _dec("o_totalprice"),
+    header = F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", _cents("o_totalprice"),
                          "o_orderpriority")
     pol = (orders.select(F.col("o_orderkey").alias("policy_id"), header.alias("header"))
            .join(lines, "policy_id", "left")

@@ -12,9 +12,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least as many partitions as the cluster has cores.
+
+    A table stored as one file with one row group is scanned by a single task, which then also runs every
+    per-row step before the first shuffle.  Only such narrow scans are round-robin repartitioned; a large
+    table already has far more splits than cores and is left untouched (no extra shuffle at scale).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *, spread_out: bool = True) -> DataFrame:
     """Plain parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if spread_out else df
 
 
 def register_parquet_view(spark: SparkSession, path_glob: str, view_name: str) -> DataFrame:
