@@ -5,12 +5,13 @@ Two policy corpora are derived from the driver tables:
 * ``documents`` as policies: policy ``POL-nnn`` = ``doc_id div 20`` (at most 20 clauses), clause id
   ``POL-nnn-<doc_id>``, topic = ``lang``, title = first line of the text, text = the whole text;
 * ``orders`` + ``lineitem`` as policies at scale: one order is one policy, its line items the clauses
-  (at most 7).  A second version of that corpus changes quantity + 1 where ``l_orderkey % 7 = 0`` and
+  (any number; line numbers repeat in the driver data).  A second version of that corpus changes quantity + 1 where ``l_orderkey % 7 = 0`` and
   drops orders with ``o_orderkey % 11 = 0``; the manifest of the previous run lacks orders with
   ``o_orderkey % 13 = 0``, so they come back as new.
 
-Policies are bounded by construction, so building one nested row per policy never gathers an
-unbounded group into one task.
+A ``documents`` policy is bounded by construction (20 clauses), so it is nested into one row.  An order
+policy has no such bound, so it is never nested: its digest is a partially aggregated multiset hash and
+its clause positions come from the skew-safe ordinal.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citesift.functions.text import canonical_json_digest, first_line, policy_key
+from citesift.operators.ordinal import largest_group, ordinal_within
 from citesift.sinks.snapshot import upsert
 
 CLAUSES_PER_POLICY = 20
@@ -89,22 +91,39 @@ def order_lines(lineitem: DataFrame, version: int) -> DataFrame:
     return lineitem.select("l_orderkey", "l_linenumber", line.alias("line"))
 
 
-def order_policies(orders: DataFrame, lineitem: DataFrame, version: int) -> DataFrame:
-    """policy_id (order key), header, lines (array in line-number order), digest."""
+# fixed values: a line's SHA-256 enters its policy digest as 8 slices of 7 hex digits (28 bits each), summed
+LINE_HASH_SLICES = 8
+SLICE_HEX = 7
+
+
+def _kept_orders(orders: DataFrame, version: int) -> DataFrame:
     if version == 1:
-        orders = orders.where(F.col("o_orderkey") % 13 != 0)
-    else:
-        orders = orders.where(F.col("o_orderkey") % 11 != 0)
-    lines = (order_lines(lineitem, version).groupBy("l_orderkey")
-             .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("_l"))
-             .select(F.col("l_orderkey").alias("policy_id"), F.transform("_l", lambda s: s["line"]).alias("lines")))
+        return orders.where(F.col("o_orderkey") % 13 != 0)
+    return orders.where(F.col("o_orderkey") % 11 != 0)
+
+
+def order_policies(orders: DataFrame, lineitem: DataFrame, version: int) -> DataFrame:
+    """policy_id (order key), n_lines, digest.
+
+    The digest is a multiset hash, so no order's lines are ever gathered in one place: every line's SHA-256
+    is cut into slices that are summed per order (a partial aggregate before the shuffle, so an order holding
+    a third of all lines still sends one small row per partition), and the policy digest is the SHA-256 of
+    the header, the line count and the slice sums.  Equal multisets of lines give equal digests; since the
+    clause order is the sort order of the lines, that is exactly "same content".
+    """
+    h = F.sha2(F.col("line"), 256)
+    sums = [F.sum(F.conv(F.substring("_h", 1 + SLICE_HEX * i, SLICE_HEX), 16, 10).cast("bigint")).alias(f"_s{i}")
+            for i in range(LINE_HASH_SLICES)]
+    per_order = (order_lines(lineitem, version).select(F.col("l_orderkey").alias("policy_id"), h.alias("_h"))
+                 .groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_lines"), *sums))
     header = F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", _cents("o_totalprice"),
                          "o_orderpriority")
-    pol = (orders.select(F.col("o_orderkey").alias("policy_id"), header.alias("header"))
-           .join(lines, "policy_id", "left")
-           .withColumn("lines", F.coalesce("lines", F.array().cast("array<string>"))))
-    content = F.concat_ws("\n", F.col("header"), F.array_join("lines", "\n"))
-    return pol.withColumn("digest", F.sha2(content, 256))
+    pol = (_kept_orders(orders, version).select(F.col("o_orderkey").alias("policy_id"), header.alias("header"))
+           .join(per_order, "policy_id", "left"))
+    body = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit(0)).cast("string")
+                              for c in ["n_lines", *[f"_s{i}" for i in range(LINE_HASH_SLICES)]]])
+    return pol.select("policy_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+                      F.sha2(F.concat_ws("\n", "header", body), 256).alias("digest"))
 
 
 def manifest_of(policies: DataFrame) -> DataFrame:
@@ -136,11 +155,28 @@ def reindex_stats(diff: DataFrame) -> DataFrame:
                     F.count_if(F.col("status").isin("new", "changed")).alias("policies_reembedded"))
 
 
-def order_chunks(policies: DataFrame, version: int) -> DataFrame:
-    """Vector-table rows for order policies: id ``<order>-<line>``, policy, version, text."""
-    c = policies.select("policy_id", F.posexplode("lines").alias("pos", "text"))
-    return c.select(F.concat_ws("-", F.col("policy_id").cast("string"), (F.col("pos") + 1).cast("string")).alias("id"),
-                    "policy_id", F.lit(version).alias("version"), "text")
+def numbered_order_lines(orders: DataFrame, lineitem: DataFrame, todo: DataFrame | None = None) -> DataFrame:
+    """Vector-table rows of both corpus versions, numbered in one pass: id ``<order>-<n>`` where n is the
+    line's position in (line number, line text) order inside its order, policy, version, text.
+
+    Version 1 covers every order it keeps; version 2 only the orders in ``todo`` (all it keeps when None).
+    Positions come from :func:`ordinal_within`, which never puts an order with more than a bounded number
+    of lines in one task (its size check picks the skew-safe path for bigger ones).  Rows that tie on (line number, text) are identical in every output column, so which of them gets
+    which position does not change the result.
+    """
+    keep2 = _kept_orders(orders, 2).select(F.col("o_orderkey").alias("policy_id")) if todo is None else todo
+    parts = []
+    for version, keep in ((1, _kept_orders(orders, 1).select(F.col("o_orderkey").alias("policy_id"))),
+                          (2, keep2)):
+        parts.append(order_lines(lineitem, version)
+                     .join(keep.select(F.col("policy_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+                     .withColumn("version", F.lit(version)))
+    lines = parts[0].unionByName(parts[1])
+    # a version only drops orders, so the most lines any raw order has bounds every group here
+    bound = largest_group(lineitem, ["l_orderkey"])
+    pos = ordinal_within(lines, ["version", "l_orderkey"], ["l_linenumber", "line"], name="pos", group_bound=bound)
+    return pos.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("pos").cast("string")).alias("id"),
+                      F.col("l_orderkey").alias("policy_id"), "version", F.col("line").alias("text"))
 
 
 def incremental_vectors(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +186,7 @@ def incremental_vectors(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFra
     v2 = order_policies(orders, lineitem, 2)
     diff = manifest_diff(v2, manifest_of(v1))
     todo = diff.where(F.col("status").isin("new", "changed")).select("policy_id")
-    updates = order_chunks(v2.join(todo, "policy_id", "left_semi"), 2)
-    existing = order_chunks(v1, 1)
+    chunks = numbered_order_lines(orders, lineitem, todo)
+    existing = chunks.where(F.col("version") == 1)
+    updates = chunks.where(F.col("version") == 2)
     return upsert(existing, updates, ["id"]), diff

@@ -34,12 +34,32 @@ def test_blocked_knn_equals_brute_force_with_hot_scope(spark):
 def test_ordinal_with_hot_key(spark):
     rows = [(0 if i % 3 == 0 else i % 17, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, v long")
-    o = ordinal_within(df, ["k"], ["v"])
+    o = ordinal_within(df, ["k"], ["v"], max_window_rows=0)  # force the range-partitioned path
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")))
     assert o.join(ref, ["k", "v"]).where(F.col("ordinal") != F.col("rn")).count() == 0
     assert o.count() == 3000
 
 
+def test_ordinal_null_and_compound_keys(spark):
+    # a null key is its own group; a two-column key with a hot value spread over several range partitions
+    rows = [(None if i % 5 == 0 else i % 3, 7 if i % 2 == 0 else i % 4, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a long, b long, v long")
+    o = ordinal_within(df, ["a", "b"], ["v"], num_partitions=6, max_window_rows=0)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy("v")))
+    got = {(r["a"], r["b"], r["v"]): r["ordinal"] for r in o.collect()}
+    want = {(r["a"], r["b"], r["v"]): r["rn"] for r in ref.collect()}
+    assert got == want
+
+
+def test_ordinal_size_check_picks_window(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(400)], "k long, v long")
+    o = ordinal_within(df, ["k"], ["v"])
+    assert "Window" in o._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["ordinal"] for r in o.where("k = 1").collect()} == set(range(1, 101))
+    big = ordinal_within(df, ["k"], ["v"], group_bound=101, max_window_rows=100)
+    assert "Window [row_number" not in big._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_skewed_share(spark):
     rows = spark.range(5000).withColumnRenamed("id", "row")
     a = skewed_assignment(rows, "row", 100, seed=42)
