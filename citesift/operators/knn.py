@@ -8,6 +8,14 @@ gives the final ranking (Spark plans it as a partial WindowGroupLimit before the
 
 Nothing is cross-joined row by row, no group is larger than one block on each side, and a hot scope
 (say a third of the corpus in one label) is split into proportionally more corpus blocks.
+
+Block sizes set the shuffle volume: every query row is copied once per corpus block and every corpus row
+once per query block, i.e. ``Q * C / bc + C * Q / bq`` vector copies for block sizes ``bc`` and ``bq``.
+It falls linearly as the cells grow, so the defaults are large (64k corpus + 16k query rows of 64 float
+dims is ~25 MB of Arrow input per cell; the kernel bounds its own working matrix).  Query tables are
+usually far smaller than the corpus: one that fits a single query block is never split, and then only
+the queries are copied.  With 1M queries over a 1B-row corpus that is about 7.7e10 copies, where 8k x 2k
+blocks would need 6.1e11.
 """
 
 from __future__ import annotations
@@ -76,7 +84,7 @@ def _block_kernel(query_keys, corpus_key, vector_col, k, metric, passthrough):
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[str],
              corpus_key: str = "id", vector_col: str = "embedding", scope_col: str | None = None,
-             metric: str = "l2sq", corpus_block_rows: int = 8192, query_block_rows: int = 2048,
+             metric: str = "l2sq", corpus_block_rows: int = 65536, query_block_rows: int = 16384,
              rank_col: str = "rank", distance_col: str = "distance") -> DataFrame:
     """Exact top-k corpus rows per query row, distances ascending, ties broken by corpus key.
 
