@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from citesift.operators import fusion
 from citesift.operators.budget import COST_PER_CALL, sequential_gate
 from citesift.operators.trace import MAX_ITERATIONS, early_stop, improvement, top1_per_iteration
+from citesift.session import cut_lineage
 
 ANSWER_K = 3  # fixed value: citations in an answer
 
@@ -39,6 +40,9 @@ def run_loop(steps: DataFrame, hits: DataFrame, claims: DataFrame, keys=("claim_
     citations (array, fused order; empty unless answered).
     """
     keys = list(keys)
+    # the hits feed both the trace and the fusion; the k-NN behind them is the costliest step and Spark
+    # cannot share a pandas kernel's output between two branches, so it is written once (Q x k rows)
+    hits = cut_lineage(hits)
     kept = early_stop(loop_trace(steps, hits, keys), keys)
     gated = sequential_gate(kept.join(claims.select(*keys, "budget"), keys), keys, ["iteration"],
                             cost=cost, budget=F.col("budget"), max_calls=MAX_ITERATIONS)

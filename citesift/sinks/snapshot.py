@@ -8,6 +8,7 @@ moves the pointer, so a failed or retried job leaves the previous snapshot intac
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -80,3 +81,31 @@ def upsert(existing: DataFrame | None, updates: DataFrame, key: list[str]) -> Da
     if existing is None:
         return updates
     return existing.join(updates.select(*key), key, "left_anti").unionByName(updates)
+
+
+# ---- epoch logs (stream sinks) ---------------------------------------------------------------------------
+def write_epoch(df: DataFrame, root: str, epoch: int) -> None:
+    """Write one micro-batch's rows as ``<root>/epoch=<n>``.
+
+    Only the batch's own rows are written (never the accumulated table), and a replayed epoch overwrites
+    its own folder and nothing else, so the log is exactly-once under retries.
+    """
+    df.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+
+
+def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None) -> DataFrame | None:
+    """The current table of an epoch log: per key, the row of the latest epoch (None if never written).
+
+    ``before`` reads the table as it was before that epoch (partition pruning on the folder name), so a
+    replayed micro-batch sees the same state as its first attempt did.  ``max_by`` is partially
+    aggregated, so a key written in many epochs sends one row per partition.
+    """
+    fs, path, _ = _fs(spark, root)
+    if not fs.exists(path):
+        return None
+    log = spark.read.parquet(root)
+    if before is not None:
+        log = log.where(F.col("epoch") < before)
+    cols = [c for c in log.columns if c not in key and c != "epoch"]
+    latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_v"))
+    return latest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -26,7 +27,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want, *[F.col(f"`{c}`") for c in df.columns])
+    # map columns cannot be hashed; the other columns still give a deterministic split
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.repartition(want, *hashable) if hashable else df.repartition(want)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *, spread_out: bool = True) -> DataFrame:

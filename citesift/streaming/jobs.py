@@ -1,8 +1,9 @@
 """Structured Streaming variants (STR-1..4).
 
-All four read files with ``readStream`` and keep their results in snapshot tables through
-``foreachBatch`` (an upsert per micro-batch), so nothing is collected on the driver and a restarted query
-continues from its checkpoint.  Run with ``trigger(availableNow=True)`` the final tables equal the batch
+All four read files with ``readStream`` and keep their results through ``foreachBatch``, so nothing is
+collected on the driver and a restarted query continues from its checkpoint.  Results that are a keyed
+table (counter, claim outcomes, manifest, vectors) go to an epoch log: each micro-batch writes only its own rows to its
+epoch's folder, and the table is the latest row per key; nothing accumulated is rewritten per batch.  Run with ``trigger(availableNow=True)`` the final tables equal the batch
 jobs over the same input.
 """
 
@@ -16,7 +17,7 @@ from citesift.plans import agentic
 from citesift.plans import claims as cl
 from citesift.plans import corpus as cp
 from citesift.session import work_dir
-from citesift.sinks.snapshot import read_snapshot, upsert, write_snapshot
+from citesift.sinks.snapshot import read_latest, write_epoch
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
                  "props string")
@@ -25,8 +26,9 @@ DOCS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars b
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one driver table (``<name>.parquet`` inside ``sf_dir``)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A file stream over one table inside ``sf_dir``: ``<name>.parquet`` and any later ``<name>-*.parquet``
+    files, taken in arrival order."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}{{,-*}}.parquet")
             .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
 
 
@@ -42,7 +44,8 @@ def _run(df: DataFrame, fn, name: str) -> None:
 # ---- STR-1 ---------------------------------------------------------------------------------------------
 def stream_spend_counter(spark: SparkSession, sf_dir: str, *, dedup_horizon: str = "1 hour") -> DataFrame:
     """Keyed spend counter fed by gate calls; retried deliveries (every ``error`` call arrives twice) are
-    dropped within a watermark horizon so the de-dup state stays bounded."""
+    dropped within a watermark horizon so the de-dup state stays bounded.  The sink is an epoch log, so a
+    micro-batch writes only the totals it changed."""
     ev = table_stream(spark, sf_dir, "events", EVENTS_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
     calls = ev.select("user_id", "event_id", "event_type", "ts")
     deliveries = calls.unionByName(calls.where(F.col("event_type") == "error"))
@@ -51,14 +54,17 @@ def stream_spend_counter(spark: SparkSession, sf_dir: str, *, dedup_horizon: str
                                          F.sum(F.lit(COST_PER_CALL)).cast("bigint").alias("tokens_spent"))
     root = work_dir(spark, "stream-counter")
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        # update mode: each batch carries the new totals of the keys it touched
-        write_snapshot(upsert(read_snapshot(spark, root), batch, ["user_id"]), root)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        # update mode: each batch carries the new totals of only the keys it touched; they are appended as
+        # this epoch's folder, and readers take each key's latest total
+        write_epoch(batch, root, epoch)
 
     q = (counts.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", work_dir(spark, "stream-counter-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_snapshot(spark, root)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_latest(spark, root, ["user_id"])
 
 
 # ---- STR-2 ---------------------------------------------------------------------------------------------
@@ -70,7 +76,8 @@ def stream_gate(spark: SparkSession, sf_dir: str, *, budget: int) -> DataFrame:
     state_root, out_root = work_dir(spark, "gate-state"), work_dir(spark, "gate-decisions")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        state = read_snapshot(spark, state_root)
+        # the state as it stood before this epoch, so a replayed batch decides exactly as its first attempt
+        state = read_latest(spark, state_root, ["user_id"], before=epoch)
         if state is None:
             state = spark.createDataFrame([], "user_id bigint, spent bigint, calls bigint, refused boolean")
         live = batch.join(state.where(F.col("refused")).select("user_id"), "user_id", "left_anti")
@@ -86,7 +93,8 @@ def stream_gate(spark: SparkSession, sf_dir: str, *, budget: int) -> DataFrame:
         new_state = (decided.groupBy("user_id")
                      .agg(F.max("tokens_spent").alias("spent"), F.max("seq").cast("bigint").alias("calls"),
                           F.max(~F.col("within_budget")).alias("refused")))
-        write_snapshot(upsert(state, new_state, ["user_id"]), state_root)
+        # only the users this batch touched; a refused user never reappears, so their last row stays refused
+        write_epoch(new_state, state_root, epoch)
 
     _run(ev, per_batch, "gate")
     return spark.read.parquet(out_root).drop("epoch")
@@ -94,20 +102,20 @@ def stream_gate(spark: SparkSession, sf_dir: str, *, budget: int) -> DataFrame:
 
 # ---- STR-3 ---------------------------------------------------------------------------------------------
 def stream_claim_intake(spark: SparkSession, sf_dir: str, knn) -> DataFrame:
-    """Every arriving claim (its search vectors) goes through the loop once; outcomes are upserted by claim
-    id, so a replayed micro-batch does not duplicate an answer."""
+    """Every arriving claim (its search vectors) goes through the loop once; outcomes go to an epoch log read
+    as the latest row per claim id, so a replayed micro-batch does not duplicate an answer."""
     corpus = cl.corpus_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     emb = table_stream(spark, sf_dir, "embeddings", EMB_SCHEMA)
     root = work_dir(spark, "intake-outcomes")
 
-    def per_batch(batch: DataFrame, _epoch: int) -> None:
+    def per_batch(batch: DataFrame, epoch: int) -> None:
         q = cl.query_vectors(batch)
         hits = knn(q, corpus)
         outcomes, _, _ = agentic.run_loop(q.select("claim_id", "iteration"), hits, cl.claims(batch))
-        write_snapshot(upsert(read_snapshot(spark, root), outcomes, ["claim_id"]), root)
+        write_epoch(outcomes, root, epoch)
 
     _run(emb, per_batch, "intake")
-    return read_snapshot(spark, root)
+    return read_latest(spark, root, ["claim_id"])
 
 
 # ---- STR-4 ---------------------------------------------------------------------------------------------
@@ -117,17 +125,20 @@ def stream_reindex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     docs = table_stream(spark, sf_dir, "documents", DOCS_SCHEMA)
     vec_root, man_root = work_dir(spark, "stream-vectors"), work_dir(spark, "stream-manifest")
 
-    def per_batch(batch: DataFrame, _epoch: int) -> None:
+    def per_batch(batch: DataFrame, epoch: int) -> None:
         policies = cp.nest_policies(cp.document_clauses(batch))
         digests = cp.policy_digest(policies)
-        manifest = read_snapshot(spark, man_root)
+        manifest = read_latest(spark, man_root, ["policy_id"], before=epoch)
+        if manifest is not None:
+            # only this batch's policies are looked up in the manifest
+            manifest = manifest.join(digests.select("policy_id"), "policy_id", "left_semi")
         diff = cp.manifest_diff(digests, manifest)
         todo = diff.where(F.col("status").isin("new", "changed")).select("policy_id")
         chunks = cp.chunk_by_clause(policies.join(todo, "policy_id", "left_semi"))
         rows = chunks.select("id", F.col("metadata.policy_id").alias("policy_id"), F.sha2("text", 256).alias("text_sha"))
-        write_snapshot(upsert(read_snapshot(spark, vec_root), rows, ["id"]), vec_root)
-        new_manifest = digests if manifest is None else upsert(manifest, digests, ["policy_id"])
-        write_snapshot(new_manifest, man_root)
+        # vectors first, manifest after (a crash between the two only re-embeds, never skips)
+        write_epoch(rows, vec_root, epoch)
+        write_epoch(digests, man_root, epoch)
 
     _run(docs, per_batch, "reindex")
-    return read_snapshot(spark, man_root), read_snapshot(spark, vec_root)
+    return read_latest(spark, man_root, ["policy_id"]), read_latest(spark, vec_root, ["id"])
