@@ -98,9 +98,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     c = corpus.where(F.col(vector_col).isNotNull())
     passthrough: list[str] = []
     if scope_col is None:
-        # block counts from two scalar counts (parquet footers answer them); nothing else reaches the driver
-        n_c = c.count()
-        n_q = q.count()
+        # block counts from two scalar counts of the inputs before the null-vector filter: an upper bound is
+        # all the sizing needs, and it reads no vector column; nothing else reaches the driver
+        n_c = corpus.count()
+        n_q = queries.count()
         c_blocks = max(1, math.ceil(n_c / corpus_block_rows))
         q_blocks = max(1, math.ceil(n_q / query_block_rows))
         # fresh aliases: both sides often come from one table, and the cogroup must tell them apart
@@ -114,8 +115,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     else:
         passthrough = [scope_col]
         # per-scope block counts: a hot scope gets proportionally more corpus blocks
-        c_stats = c.groupBy(scope_col).agg(F.count(F.lit(1)).alias("_nc"))
-        q_stats = q.groupBy(scope_col).agg(F.count(F.lit(1)).alias("_nq"))
+        # per-scope sizes from the inputs before the null-vector filter (upper bounds; no vector column read)
+        c_stats = corpus.groupBy(scope_col).agg(F.count(F.lit(1)).alias("_nc"))
+        q_stats = queries.groupBy(scope_col).agg(F.count(F.lit(1)).alias("_nq"))
         stats = (c_stats.join(q_stats, scope_col)
                  .select(scope_col,
                          F.greatest(F.lit(1), F.ceil(F.col("_nc") / corpus_block_rows)).cast("int").alias("_ncb"),
