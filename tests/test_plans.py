@@ -31,3 +31,27 @@ def test_sql_only_queries_stay_in_the_jvm(spark):
         p = _plan(df)
         if name != "rrf_fusion":
             assert "Python" not in p and "ArrowEvalPython" not in p
+
+
+def test_order_digest_gathers_no_lines(spark):
+    # the manifest diff sums hash slices per order; no order's lines are collected into an array
+    import __spark_entry__ as E
+    p = _plan(E.queries()["manifest_diff"](spark, SF_MID))
+    assert "collect_list" not in p and "ObjectHashAggregate" not in p
+    assert "partial_sum" in p
+
+
+def test_loop_runs_the_knn_kernel_once(spark):
+    # the closed-form loop reads its hits from one reliable checkpoint, not from a kernel per branch
+    import __spark_entry__ as E
+    p = _plan(E.queries()["agentic_loop"](spark, SF_MID))
+    assert "FlatMapCoGroupsInPandas" not in p
+
+
+def test_ordinal_numbering_stays_in_the_jvm(spark):
+    from citesift.operators.ordinal import ordinal_within
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    for bound in (None, 0):
+        o = ordinal_within(df, ["k"], ["v"], max_window_rows=bound if bound is not None else 100_000)
+        p = _plan(o)
+        assert "Python" not in p and "MapInPandas" not in p
