@@ -264,6 +264,21 @@ def deterministic_completion(spark, sf_dir):
     return conv.select("conv_id", "turn", tx.deterministic_completion("text").alias("completion"))
 
 
+@query("provider_completion", sql="""
+SELECT conv_id, turn,
+       to_json({'answer': '[fake-llm deterministic response ' || substr(sha256(text), 1, 8) || ']',
+                'confidence': 0.5, 'citations': []::VARCHAR[]})::VARCHAR AS completion,
+       CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS failure_type
+FROM conversations WHERE role = 'user'""")
+def provider_completion(spark, sf_dir):
+    """UDF-2 / UDF-3: the provider chosen by name, called the way a network provider is (built once per task
+    in ``mapInPandas``, every whole prompt tried with retries, outcome returned instead of raised)."""
+    from citesift.functions.models import complete
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    out = complete(conv, "text", provider="deterministic", prefer_column=False)
+    return out.select("conv_id", "turn", "completion", "attempts", "failure_type")
+
+
 @query("answer_prompt", sql=f"""{WITH_LOOP},
 {SQL_ANSWERS}
 SELECT 'claim-' || CAST(claim_id AS VARCHAR) AS claim_id, sha256(prompt) AS prompt_sha,
