@@ -355,8 +355,12 @@ def agentic_loop_rounds(spark, sf_dir):
     """JOB-3 executed round by round with a shrinking active set; must equal the closed form."""
     from citesift.plans.rounds import run_loop_rounds
     emb, q, c = _tables(spark, sf_dir)
+    claims = cl.claims(emb)
+    # block sizing bounds, counted once: a round searches at most one vector per claim
+    n_c, n_claims = c.count(), claims.count()
 
     def knn(qq, cc):
-        return knn_join(qq, cc, 5, query_keys=["claim_id", "iteration"], corpus_key="id")
-    out = run_loop_rounds(cl.claims(emb), q, c, knn)
+        return knn_join(qq, cc, 5, query_keys=["claim_id", "iteration"], corpus_key="id",
+                        corpus_rows=n_c, query_rows=n_claims)
+    out = run_loop_rounds(claims, q, c, knn)
     return out.select("claim_id", "status", "iterations", "tokens_spent", _cites_str().alias("citations"))

@@ -85,12 +85,15 @@ def _block_kernel(query_keys, corpus_key, vector_col, k, metric, passthrough):
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[str],
              corpus_key: str = "id", vector_col: str = "embedding", scope_col: str | None = None,
              metric: str = "l2sq", corpus_block_rows: int = 65536, query_block_rows: int = 16384,
-             rank_col: str = "rank", distance_col: str = "distance") -> DataFrame:
+             rank_col: str = "rank", distance_col: str = "distance", corpus_rows: int | None = None,
+             query_rows: int | None = None) -> DataFrame:
     """Exact top-k corpus rows per query row, distances ascending, ties broken by corpus key.
 
     ``scope_col`` (FLT-1 / JON-2) restricts each query to corpus rows with the same scope value; the
     scope is applied before ranking, which is not the same as filtering a global top-k afterwards.
     Output: query keys, [scope], corpus key, distance (rounded to 9 places), rank (1-based).
+    ``corpus_rows`` / ``query_rows`` are upper bounds the caller already holds (unscoped join only); they
+    only size the blocks and spare the count jobs.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -100,8 +103,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     if scope_col is None:
         # block counts from two scalar counts of the inputs before the null-vector filter: an upper bound is
         # all the sizing needs, and it reads no vector column; nothing else reaches the driver
-        n_c = corpus.count()
-        n_q = queries.count()
+        n_c = corpus_rows if corpus_rows is not None else corpus.count()
+        n_q = query_rows if query_rows is not None else queries.count()
         c_blocks = max(1, math.ceil(n_c / corpus_block_rows))
         q_blocks = max(1, math.ceil(n_q / query_block_rows))
         # fresh aliases: both sides often come from one table, and the cogroup must tell them apart
