@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citesift.catalog import query
-from citesift.catalog.retrieval import K_SINGLE, SQL_C, SQL_Q, WITH_KNN5, loop_hits
+from citesift.catalog.retrieval import K_SINGLE, WITH_KNN5, loop_hits
 from citesift.operators import evaluation as ev
 from citesift.operators.budget import sequential_gate, spend_counter
 from citesift.operators.knn import knn_join

@@ -15,7 +15,7 @@ from citesift.operators import quality as qa
 from citesift.operators.skew import hot_key_share, skewed_assignment
 from citesift.session import work_dir
 from citesift.sources.nested import read_text_documents
-from citesift.sources.tables import TABLES, read_table, register_parquet_view, table_path
+from citesift.sources.tables import read_table, register_parquet_view, table_path
 
 PIPELINE = "citesift"
 REPORT_STAMP = "run0001"

@@ -161,8 +161,9 @@ def numbered_order_lines(orders: DataFrame, lineitem: DataFrame, todo: DataFrame
 
     Version 1 covers every order it keeps; version 2 only the orders in ``todo`` (all it keeps when None).
     Positions come from :func:`ordinal_within`, which never puts an order with more than a bounded number
-    of lines in one task (its size check picks the skew-safe path for bigger ones).  Rows that tie on (line number, text) are identical in every output column, so which of them gets
-    which position does not change the result.
+    of lines in one task (its size check picks the skew-safe path for bigger ones).  Rows that tie on (line
+    number, text) are identical in every output column, so which of them gets which position does not
+    change the result.
     """
     keep2 = _kept_orders(orders, 2).select(F.col("o_orderkey").alias("policy_id")) if todo is None else todo
     parts = []
