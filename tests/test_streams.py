@@ -39,3 +39,40 @@ def test_counter_stream_over_batches_equals_batch_counter(spark, tmp_path):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     want = spend_counter(ev, ["user_id"], "event_id").select("user_id", "calls", "tokens_spent")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_reindex_stream_reembeds_only_changed_policies(spark, tmp_path, monkeypatch):
+    from citesift.plans import corpus as cp
+
+    t = pq.read_table(f"{SF_SMALL}/documents.parquet").to_pandas().sort_values("doc_id")
+    pol = t["doc_id"] // 20
+    first, second = t[pol < 3], t[pol >= 3]
+    # third delivery: policy 0 unchanged, policy 1 with one clause edited
+    again = t[pol < 2].copy()
+    edited_id = again["doc_id"].iloc[25]
+    again.loc[again["doc_id"] == edited_id, "text"] = again.loc[again["doc_id"] == edited_id, "text"] + " (amended)"
+    for i, part in enumerate((first, second, again)):
+        path = tmp_path / f"documents-{i}.parquet"
+        part.to_parquet(path, index=False)
+        os.utime(path, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+
+    written = []
+    real = jobs.write_epoch
+
+    def spy(df, root, epoch):
+        real(df, root, epoch)
+        if "stream-vectors" in root:
+            ids = spark.read.parquet(f"{root}/epoch={epoch}").select("policy_id").distinct().collect()
+            written.append((epoch, sorted(r["policy_id"] for r in ids)))
+
+    monkeypatch.setattr(jobs, "write_epoch", spy)
+    manifest, vectors = jobs.stream_reindex(spark, str(tmp_path))
+    assert written[-1] == (2, ["POL-001"])  # only the edited policy is re-chunked in the last batch
+
+    current = t.set_index("doc_id")
+    current.loc[edited_id, "text"] = again.set_index("doc_id").loc[edited_id, "text"]
+    docs = spark.createDataFrame(current.reset_index())
+    want = {r["policy_id"]: r["digest"]
+            for r in cp.policy_digest(cp.nest_policies(cp.document_clauses(docs))).collect()}
+    assert {r["policy_id"]: r["digest"] for r in manifest.collect()} == want
+    assert vectors.count() == len(t)
