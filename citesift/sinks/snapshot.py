@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citesift.session import cut_lineage
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -73,13 +75,18 @@ def write_snapshot(df: DataFrame, root: str, *, partition_by: list[str] | None =
     return n
 
 
-def upsert(existing: DataFrame | None, updates: DataFrame, key: list[str]) -> DataFrame:
+def upsert(existing: DataFrame | None, updates: DataFrame, key: list[str], *, materialize: bool = True) -> DataFrame:
     """SNK-3 / SNK-5: last write wins by key: rows of ``existing`` whose key is updated are replaced.
 
-    Nothing is ever deleted (Q8).  An anti join plus a union: both sides shuffle on the key once.
+    Nothing is ever deleted (Q8).  An anti join plus a union: both sides shuffle on the key once, and AQE
+    splits a skewed key of the anti join.  ``updates`` is read twice (its keys and its rows), so by default
+    it is first written once as a reliable checkpoint: whatever produced it (a diff, new embeddings) runs
+    once, not once per use.
     """
     if existing is None:
         return updates
+    if materialize:
+        updates = cut_lineage(updates)
     return existing.join(updates.select(*key), key, "left_anti").unionByName(updates)
 
 
