@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from citesift.functions import text as tx
 from citesift.operators.attempts import FAILURE_PERMANENT, FAILURE_TRANSIENT, LLM_BACKOFF_BASE_S, LLM_MAX_ATTEMPTS
+from citesift.session import ship_package
 
 DEFAULT_MAX_TOKENS = 512
 
@@ -105,6 +106,7 @@ def complete(df: DataFrame, prompt_col: str, *, provider: str = "deterministic",
         return (df.withColumn(out_col, F.when(F.col(prompt_col).isNotNull(), probe))
                 .withColumn("attempts", F.when(F.col(prompt_col).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
                 .withColumn("failure_type", F.lit(None).cast("string")))
+    ship_package(df.sparkSession)  # the task below refers to the package's classes
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("attempts", T.IntegerType()),
                                               T.StructField("failure_type", T.StringType())])
@@ -137,6 +139,7 @@ def embed(df: DataFrame, key: str, text: str, *, model: str = "hashed", dim: int
     if model not in EMBEDDERS:
         raise ValueError(f"unknown embedding model {model!r}; known: {sorted(['hashed', *EMBEDDERS])}")
     factory = EMBEDDERS[model]
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,5 +1,9 @@
 """Provider registry, retry classification and the embedding-model slot (UDF-1..3)."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +72,16 @@ def test_embedding_model_slot_builds_once_per_task(spark):
     assert {r["embedding"][1] for r in rows} == {1.0}
     with pytest.raises(ValueError):
         m.embed(df, "id", "t", model="missing")
+
+
+def test_provider_path_runs_from_any_directory(tmp_path):
+    # a driver started outside the repository: workers must still import the package (shipped by addPyFile)
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from citesift.session import get_spark\n"
+            "import __spark_entry__ as E\n"
+            "s = get_spark('local[2]', shuffle_partitions=2)\n"
+            "print('rows', E.queries()['provider_completion'](s, '/root/testdata/sf0.001').count())\n"
+            "s.stop()\n")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 48" in out.stdout, out.stderr[-2000:]
