@@ -55,3 +55,12 @@ def test_ordinal_numbering_stays_in_the_jvm(spark):
         o = ordinal_within(df, ["k"], ["v"], max_window_rows=bound if bound is not None else 100_000)
         p = _plan(o)
         assert "Python" not in p and "MapInPandas" not in p
+
+
+def test_vector_upsert_runs_the_diff_once(spark):
+    # the updates are written once before the anti join and the union read them, so the two digest
+    # aggregations behind them are not in the final plan twice (they ran once, inside the checkpoint)
+    import __spark_entry__ as E
+    p = _plan(E.queries()["vector_upsert"](spark, SF_MID))
+    assert "conv(substring(_h" not in p
+    assert p.count("lineitem.parquet") == 1
