@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from citesift.llm.chat_masks import format_chats, read_back
+from citesift.llm.entropy_mix import entropy_mix
+from citesift.llm.kd_shards import kd_shards
 from citesift.llm.shared import scan
 from citesift.llm.token_counts import token_counts
+from citesift.llm.toxicity import fit, held_out, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +26,29 @@ def register(fn):
 @register
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(scan(spark, sf_dir, "documents"))
+
+
+@register
+def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix(scan(spark, sf_dir, "documents"))
+
+
+@register
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(scan(spark, sf_dir, "documents"), shards=24)
+
+
+@register
+def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = scan(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return read_back(format_chats(given.unionByName(probe)))
+
+
+@register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, fit(docs, scan(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
