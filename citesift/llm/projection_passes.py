@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm.components import components
 from citesift.llm.shared import Tables
-from citesift.llm.vectors import pack, unpack, usable
+from citesift.llm.vectors import unpack, usable
 
 PASSES = 8
 BITS = 48
@@ -30,16 +31,19 @@ CHUNK = 2048
 PART_ROWS = 16_384
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as packed doubles; zero vectors have no direction and drop out."""
-    for batch in batches:
-        values, begin, end = usable(batch.column("v"))
-        take = [i for i in np.flatnonzero(begin >= 0) if end[i] > begin[i] and np.any(values[begin[i]:end[i]])]
-        rows = [values[begin[i]:end[i]] + 0.0 for i in take]
-        where = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id").take(where), batch.column("label").take(where), pack(rows, "<f8"),
-             pa.array([len(r) for r in rows], pa.int32())], names=["vec_id", "label", "v", "dim"])
+def _items(kind: str):
+    """Rows with their vector packed; null where it cannot be compared (zero vectors have no direction)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, begin, end = usable(batch.column("v"))
+            rows = [None if a < 0 or not np.any(values[a:b]) else (values[a:b] + 0.0).astype(kind).tobytes()
+                    for a, b in zip(begin.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("label"), pa.array(rows, pa.binary()), pa.array((end - begin).astype(np.int32))],
+                names=["vec_id", "label", "v", "dim"])
+
+    return run
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,12 +52,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(passes: int, bits: int, seed: int):
+def _codes(passes: int, bits: int, seed: int, kind: str):
     """Sign patterns as sortable integers, one per pass; planes follow from seed, pass and dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, list[np.ndarray]] = {}
-        weight = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+        weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             codes = np.zeros((passes, batch.num_rows), dtype=np.int64)
@@ -61,7 +65,7 @@ def _codes(passes: int, bits: int, seed: int):
                 if d not in planes:
                     planes[d] = [np.random.default_rng((seed, p, d)).standard_normal((d, bits)) for p in range(passes)]
                 at = np.flatnonzero(dims == d)
-                x = _unit(unpack(batch.column("v").take(pa.array(at)), "<f8"))
+                x = _unit(unpack(batch.column("v").take(pa.array(at)), kind))
                 for p in range(passes):
                     codes[p, at] = ((x @ planes[d][p]) > 0).astype(np.int64) @ weight
             yield pa.RecordBatch.from_arrays(
@@ -71,55 +75,55 @@ def _codes(passes: int, bits: int, seed: int):
 
 
 def _roots(x: np.ndarray, group: np.ndarray, width: int, cosine: float) -> np.ndarray:
-    """For items in order: the first item each is linked with through verified neighbours at most ``width`` away."""
-    parent = np.arange(len(x))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    """For items in order: the first item of the chain of links that each belongs to.
 
+    An item is compared with the ``width`` items before it that have its label.
+    """
+    root = np.arange(len(x))
     for a in range(0, len(x), width):
-        b, c = min(a + width, len(x)), min(a + 2 * width, len(x))
-        close = (x[a:b] @ x[a:c].T) >= cosine
-        close &= group[a:b, None] == group[None, a:c]
-        for i, j in zip(*np.nonzero(np.triu(close, 1))):
-            if j - i <= width:
-                r, s = find(a + i), find(a + j)
-                if r != s:
-                    parent[max(r, s)] = min(r, s)
-    return np.asarray([find(i) for i in range(len(x))], dtype=np.int64)
-
-
-def _windows(width: int, cosine: float):
+        b, lo = min(a + width, len(x)), max(0, a - width)
+        close = (x[a:b] @ x[lo:b].T) >= cosine
+        close &= group[a:b, None] == group[None, lo:b]
+        for i in np.flatnonzero(close.sum(axis=1) > 1).tolist():
+            at = a + i
+            near = np.flatnonzero(close[i, max(0, at - width - lo):at - lo]) + max(lo, at - width)
+            if len(near):
+                heads = np.unique(root[near])
+                root[at] = heads[0]
+                if len(heads) > 1:
+                    root[np.isin(root, heads)] = heads[0]
+    return root
+
+
+def _links(rows: pa.Table, width: int, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    ids, dims, label = (np.asarray(rows.column(c)) for c in ("item", "dim", "label"))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        root = _roots(_unit(unpack(rows.column("v").take(pa.array(at)), kind)), label[at], width, cosine)
+        own = np.flatnonzero(root != np.arange(len(at)))
+        out_a.append(ids[at[own]])
+        out_b.append(ids[at[root[own]]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+WALKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seam", pa.int32()), ("side", pa.int32()), ("n", pa.int32()),
+                    ("label", pa.int32()), ("v", pa.binary()), ("dim", pa.int32())])
+
+
+def _walk(width: int, cosine: float, kind: str):
     """Links inside a sorted partition, streamed batch by batch, and its first and last items for the seams."""
 
-    def links(rows: pa.Table) -> tuple[list[int], list[int]]:
-        ids, out_a, out_b = np.asarray(rows.column("item")), [], []
-        dims = np.asarray(rows.column("dim"))
-        same = np.asarray(rows.column("label")).astype(np.int64)
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = _unit(unpack(rows.column("v").take(pa.array(at)), "<f8"))
-            root = _roots(x, same[at], width, cosine)
-            own = np.flatnonzero(root != np.arange(len(at)))
-            out_a += ids[at[own]].tolist()
-            out_b += ids[at[root[own]]].tolist()
-        return out_a, out_b
+    def seam(rows: pa.Table, number: int, side: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        rows = rows.combine_chunks()
+        at = [rows.column(c).chunk(0) for c in ("item", "label", "v", "dim")]
+        return pa.RecordBatch.from_arrays(
+            [at[0], pa.nulls(n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array([side] * n, pa.int32()),
+             pa.array(range(n), pa.int32()), *at[1:]], schema=WALKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "seam", "side", "n", "label", "v", "dim"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         tail, part, heads = None, 0, 0
-
-        def seam(rows: pa.Table, number: int, side: int) -> pa.RecordBatch:
-            n = rows.num_rows
-            return pa.RecordBatch.from_arrays(
-                [rows.column("item").combine_chunks(), pa.nulls(n, pa.int64()), pa.array([number] * n, pa.int32()),
-                 pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), rows.column("label").combine_chunks(),
-                 rows.column("v").combine_chunks(), rows.column("dim").combine_chunks()], names=names)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -130,47 +134,55 @@ def _windows(width: int, cosine: float):
                 yield seam(first, part, 1)
                 heads += first.num_rows
             joined = rows if tail is None else pa.concat_tables([tail, rows])
-            a, b = links(joined)
-            n = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())] + [pa.nulls(n, k) for k in kinds[2:]],
-                                             names=names)
+            a, b = _links(joined, width, cosine, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [pa.nulls(len(a), f.type) for f in list(WALKED)[2:]],
+                                             schema=WALKED)
             tail = joined.slice(max(0, joined.num_rows - width))
         if tail is not None:
             yield seam(tail, part + 1, 0)
 
-    def across(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("side", "ascending"), ("n", "ascending")])
-        a, b = links(rows.rename_columns(["item", *rows.column_names[1:]]))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
+def _across(width: int, cosine: float, kind: str):
+    """Links between the last items of one sorted partition and the first of the next."""
 
-    return run, across
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("n", "ascending")]).rename_columns(
+            ["item" if c == "a" else c for c in rows.column_names])
+        a, b = _links(rows, width, cosine, kind)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
-def _count(cosine: float):
-    """Links between two chunks of a component, weighed by copies, as one number per item."""
+def _count(cosine: float, kind: str):
+    """Links of every item with the items of its component that are at hand, weighed by their copies."""
 
     def run(rows: pa.Table) -> pa.Table:
-        out_item, out_n = [], []
-        dims = np.asarray(rows.column("dim"))
-        for d in np.unique(dims):
-            part = rows.take(pa.array(np.flatnonzero(dims == d)))
-            x = _unit(unpack(part.column("v"), "<f8"))
-            item, copies = np.asarray(part.column("item")), np.asarray(part.column("copies"))
-            mine = np.asarray(part.column("chunk")) == np.asarray(part.column("lo"))
-            one = bool((np.asarray(part.column("lo")) == np.asarray(part.column("hi"))).all())
-            a, b = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(mine), np.flatnonzero(~mine))
+        component, dims = np.asarray(rows.column("component")), np.asarray(rows.column("dim"))
+        item, copies = np.asarray(rows.column("item")), np.asarray(rows.column("copies"))
+        chunk, lo, hi = (np.asarray(rows.column(c)) for c in ("chunk", "lo", "hi"))
+        order = np.lexsort((dims, component))
+        cuts = np.flatnonzero((np.diff(component[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
+        packed = rows.column("v")
+        out_item, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in np.split(order, cuts):
+            x = _unit(unpack(packed.take(pa.array(at)), kind))
+            inner = lo[at[0]] == hi[at[0]]
+            a = np.arange(len(at)) if inner else np.flatnonzero(chunk[at] == lo[at[0]])
+            b = a if inner else np.flatnonzero(chunk[at] != lo[at[0]])
             for s in range(0, len(a), CHUNK):
-                rows_a = a[s:s + CHUNK]
-                close = (x[rows_a] @ x[b].T) >= cosine
-                if one:
-                    close[np.arange(len(rows_a)), rows_a] = False
+                part = a[s:s + CHUNK]
+                close = (x[part] @ x[b].T) >= cosine
+                if inner:
+                    close[np.arange(len(part)), part] = False
                 else:
-                    out_item.append(item[b])
-                    out_n.append(close.T @ copies[rows_a])
-                out_item.append(item[rows_a])
-                out_n.append(close @ copies[b])
-        return pa.table([pa.array(np.concatenate([*out_item, np.zeros(0, np.int64)]).astype(np.int64)),
-                         pa.array(np.concatenate([*out_n, np.zeros(0, np.int64)]).astype(np.int64))], names=["item", "n"])
+                    out_item.append(item[at[b]])
+                    out_n.append(close.T @ copies[at[part]])
+                out_item.append(item[at[part]])
+                out_n.append(close @ copies[at[b]])
+        return pa.table([pa.array(np.concatenate(out_item)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["item", "n"])
 
     return run
 
@@ -186,32 +198,47 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES,
     are not read.  An empty table gives an empty result.
     """
     tables = Tables(vectors.sparkSession, "projection_passes")
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     given = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), F.col(f"`{label}`").cast("int").alias("label"),
                            F.col(f"`{vector}`").alias("v"))
-    usable_rows = given.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull()).mapInArrow(
-        _items, "vec_id bigint, label int, v binary, dim int")
     # 128 bits of hash stand for the vector where only equality matters
-    print_of = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")]
-    rows = tables.write(usable_rows.select("*", *print_of), "rows")
+    rows = tables.write(given.mapInArrow(_items(kind), "vec_id bigint, label int, v binary, dim int").select(
+        "*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")), "rows")
+    takes_part = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     same = ["label", "h1", "h2"]
-    items = rows.groupBy(*same).agg(F.min("vec_id").alias("item"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"),
-                                    F.first("dim").alias("dim"))
+    items = rows.where(takes_part).groupBy(*same).agg(
+        F.min("vec_id").alias("item"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     schema = "label int, h1 bigint, h2 bigint, item bigint, copies bigint, v binary, dim int"
-    coded = tables.write(items.mapInArrow(_codes(passes, bits, seed), schema + "".join(f", code{p} bigint" for p in range(passes))), "items")
-    n = coded.count()
-    parts = max(1, math.ceil(n / PART_ROWS))
-    inside, across = _windows(neighbours, cosine)
-    shape = "a bigint, b bigint, seam int, side int, n int, label int, v binary, dim int"
-    found = None
+    coded = tables.write(items.mapInArrow(
+        _codes(passes, bits, seed, kind), schema + "".join(f", code{p} bigint" for p in range(passes))), "items")
+    parts = max(1, math.ceil(coded.count() / PART_ROWS))
+
+    walked = []
     for p in range(passes):
         order = ["label", "dim", f"code{p}", "item"]
-        walked = coded.select("item", "label", "v", "dim", f"code{p}").repartitionByRange(parts, *order).sortWithinPartitions(
-            *order).withColumn("part", F.spark_partition_id()).mapInArrow(inside, shape)
-        found = walked if found is None else found.union(walked)
-    # a seam lies between two neighbouring partitions of one pass
-    passed = tables.write(found.withColumn("pass", F.lit(0)) if passes == 0 else _tagged(coded, passes, parts, inside, shape), "found")
+        walked.append(coded.select("item", "label", "v", "dim", f"code{p}").repartitionByRange(parts, *order).sortWithinPartitions(
+            *order).withColumn("part", F.spark_partition_id()).mapInArrow(
+            _walk(neighbours, cosine, kind), "a bigint, b bigint, seam int, side int, n int, label int, v binary, dim int"
+        ).withColumn("pass", F.lit(p)))
+    passed = tables.write(reduce(DataFrame.union, walked), "passes")
     seams = passed.where(F.col("seam").isNotNull()).groupBy("pass", "seam").applyInArrow(
-        lambda t: across(t.select(["a", "side", "n", "label", "v", "dim"])), "a bigint, b bigint")
-    links = passed.where(F.col("b").isNotNull()).select("a", "b").union(seams)
-    found = components(tables, links)
-    return _counted(tables, rows, coded, found, given, same, cosine)
+        lambda t: _across(neighbours, cosine, kind)(t), "a bigint, b bigint")
+    found = components(tables, passed.where(F.col("b").isNotNull()).select("a", "b").union(seams))
+
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = coded.select("item", "copies", "v", "dim").join(found.join(sizes, "component"), F.col("item") == F.col("node"))
+    bundles = max(1, math.ceil(found.count() / CHUNK))
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("item"), chunks).cast("int")
+    spread = members.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+        "item", "copies", "v", "dim", "component", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
+        # small components share a task, a large one has a task for every two chunks
+        F.when(chunks == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component")).alias("task"))
+    counted = spread.groupBy("task", "lo", "hi").applyInArrow(lambda t: _count(cosine, kind)(t), "item bigint, n bigint")
+    per_item = counted.groupBy("item").agg(F.sum("n").alias("n"))
+    known = coded.select(*same, "item", "copies").join(per_item, "item", "left").join(
+        found.withColumnRenamed("node", "item"), "item", "left").select(
+        *same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "item").alias("component_id"))
+    linked = rows.where(takes_part).select("vec_id", *same).join(known, same).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~takes_part).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

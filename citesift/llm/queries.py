@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from citesift.llm.chat_masks import format_chats, read_back
 from citesift.llm.entropy_mix import entropy_mix
 from citesift.llm.kd_shards import kd_shards
+from citesift.llm.norm_buckets import top_products
+from citesift.llm.projection_passes import near_vectors
+from citesift.llm.repeat_automata import repeat_digests
 from citesift.llm.shared import scan
+from citesift.llm.suffix_pieces import encode
 from citesift.llm.token_counts import token_counts
 from citesift.llm.toxicity import fit, held_out, toxicity_scores
 
@@ -52,3 +56,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(docs, fit(docs, scan(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register
+def op2_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(scan(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@register
+def op9_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(scan(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
+@register
+def op1_repeat_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(scan(spark, sf_dir, "documents"), length=50)
+
+
+@register
+def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(scan(spark, sf_dir, "documents"))
