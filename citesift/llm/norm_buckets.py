@@ -132,7 +132,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
 
     def meet(queries: DataFrame) -> DataFrame:
         """Each block of queries against each bucket that one of its queries may find something in."""
-        cells = queries.select("block", "bucket", "dim").distinct()
+        cells = queries.select("block", "bucket", "dim").distinct().toDF("block", "bucket", "dim")
         shown = buckets.join(cells, ["bucket", "dim"])
         cell = ["block", "bucket", "dim"]
         return queries.groupBy(*cell).cogroup(shown.groupBy(*cell)).applyInArrow(_search(k), schema)
