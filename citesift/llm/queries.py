@@ -17,6 +17,7 @@ from citesift.llm.shared import scan
 from citesift.llm.suffix_pieces import encode
 from citesift.llm.token_counts import token_counts
 from citesift.llm.toxicity import fit, held_out, toxicity_scores
+from citesift.llm.weighted_minhash import near_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,8 @@ def op1_repeat_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(scan(spark, sf_dir, "documents"))
+
+
+@register
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(scan(spark, sf_dir, "documents"), similar=0.8, shingle=5).select("doc_id", "class_id", "kept")
