@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesift.llm.shared import Tables
+from citesift.llm.shared import Tables, fresh
 
 WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (3, 1, 2)
@@ -151,10 +151,11 @@ def entropy_mix(docs: DataFrame, **settings) -> DataFrame:
 
 def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **settings) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as its copies, with the columns it came with."""
-    found = mix_decisions(docs, text=text, key=key, source=source, **settings).select(
-        F.col("doc_id").alias("__k"), F.col("size").alias("__n"), F.col("unnamed").alias("__u"), F.col("source").alias("__s"),
-        F.col("copies").alias("__c")).where(F.col("__c") > 0)
-    same = (F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (word_count(text) == F.col("__n"))
-            & (F.col(f"`{source}`").isNull() == F.col("__u")) & (F.coalesce(F.col(f"`{source}`"), F.lit("")) == F.col("__s")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__copy")
-    return docs.join(found, same).select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("__copy")
+    names = fresh(docs, "k", "n", "unnamed", "named", "copies", "copy")
+    found = mix_decisions(docs, text=text, key=key, source=source, **settings)
+    found = found.where("copies > 0").select("doc_id", "size", "unnamed", "source", "copies").toDF(*names[:5])
+    k, n, unnamed, named, copies = (F.col(c) for c in names[:5])
+    same = (F.col(f"`{key}`").eqNullSafe(k) & (word_count(text) == n) & (F.col(f"`{source}`").isNull() == unnamed)
+            & (F.coalesce(F.col(f"`{source}`"), F.lit("")) == named))
+    each = F.explode(F.sequence(F.lit(1), copies)).alias(names[5])
+    return docs.join(found, same).select(*[F.col(f"`{c}`") for c in docs.columns], each).drop(names[5])

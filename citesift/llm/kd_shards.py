@@ -166,6 +166,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str =
     assigned = tables.write(rows.join(placed, same).where(piece).select(
         "doc_id", "size", "text_crc32", "shard",
         F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("bucket")), "assigned")
+    tables.drop("rows", "groups", *[f"level{n}" for n in range(level)])
 
     order = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = assigned.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(

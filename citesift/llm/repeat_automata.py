@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
-from citesift.llm.shared import Tables
+from citesift.llm.shared import Tables, fresh
 
 LENGTH = 50
 RUN = 20
@@ -237,7 +237,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key:
     spans = met.groupBy("doc_id", "h1").agg(F.collect_list("spans").alias("spans"))
     changed = marked.select("doc_id", "h1", "text").join(spans, ["doc_id", "h1"]).mapInArrow(
         _cut, "doc_id bigint, h1 bigint, n_removed bigint, kept string").dropDuplicates(["doc_id", "h1"])
-    return facts.drop("anchors"), tables.write(changed, "changed")
+    changed = tables.write(changed, "changed")
+    tables.drop("marked", "confirmed", "routed", "slices")
+    return facts.drop("anchors"), changed
 
 
 def repeat_digests(docs: DataFrame, **settings) -> DataFrame:
@@ -260,8 +262,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **s
     """``docs`` with every text that has repeated windows cut to its kept words; other rows stay as they are."""
     facts, changed = find_repeats(docs, text=text, key=key, **settings)
     copies = facts.where("copy").select("doc_id", "h1", F.lit("").alias("kept")).distinct()
-    new = changed.select("doc_id", "h1", "kept").union(copies).toDF("__k", "__h", "__kept")
+    k, h, kept = fresh(docs, "k", "h", "kept")
+    new = changed.select("doc_id", "h1", "kept").union(copies).toDF(k, h, kept)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    same = (F.col(f"`{key}`") == F.col("__k")) & (F.xxhash64(body) == F.col("__h"))
+    same = (F.col(f"`{key}`") == F.col(k)) & (F.xxhash64(body) == F.col(h))
     return docs.join(new, same, "left").select(*[
-        F.coalesce("__kept", F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+        F.coalesce(F.col(kept), F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from citesift.llm import words as W
 from citesift.llm.components import components
-from citesift.llm.shared import Tables
+from citesift.llm.shared import Tables, fresh
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -220,8 +220,10 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
             "v", "node", F.coalesce("component", "node").alias("c"))
         open_groups = rest.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
         group = tables.write(rest.join(open_groups, "v").select("v", "node"), f"group{step + 1}")
+        tables.drop(f"group{step}", f"pairs{step}")
         if not group.limit(1).count():
             break
+    tables.drop("texts", f"group{step + 1}", *[f"links{n}" for n in range(step + 1)])
 
     known = found.withColumnRenamed("node", "h1")
     rows_of = signed.select("doc_id", "h1", "h2", (F.size("bands") > 0).alias("full"))
@@ -255,8 +257,8 @@ def drop_near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = body.rlike(r"[^\x20\x09-\x0D]")
     # of a class without keys the smallest text stays
-    stay = classes.where("kept").groupBy("class_id").agg(F.min("h1").alias("__h"))
-    stay = stay.select(F.col("class_id").alias("__k"), "__h")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.xxhash64(body) == F.col("__h"))
-    kept = docs.where(words).join(stay, same).drop("__k").dropDuplicates(["__h"]).drop("__h")
+    least, own = fresh(docs, "least", "own")
+    stay = classes.where("kept").groupBy(F.col("class_id").alias(least)).agg(F.min("h1").alias(own))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(least)) & (F.xxhash64(body) == F.col(own))
+    kept = docs.where(words).join(stay, same).dropDuplicates([own]).drop(least, own)
     return kept.unionByName(docs.where(~words))
