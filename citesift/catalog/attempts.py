@@ -271,11 +271,11 @@ SELECT conv_id, turn,
        CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS failure_type
 FROM conversations WHERE role = 'user'""")
 def provider_completion(spark, sf_dir):
-    """UDF-2 / UDF-3: the provider chosen by name, called the way a network provider is (built once per task
-    in ``mapInPandas``, every whole prompt tried with retries, outcome returned instead of raised)."""
+    """UDF-2 / UDF-3: the provider chosen by name; the deterministic one answers as a column, so the whole
+    prompts never leave the JVM, and the outcome columns are those of any provider."""
     from citesift.functions.models import complete
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
-    out = complete(conv, "text", provider="deterministic", prefer_column=False)
+    out = complete(conv, "text", provider="deterministic")
     return out.select("conv_id", "turn", "completion", "attempts", "failure_type")
 
 

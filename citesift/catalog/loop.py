@@ -61,7 +61,7 @@ outcome AS (
   FROM per LEFT JOIN lcites ON lcites.claim_id = per.claim_id),
 ss AS (
   SELECT claim_id, id, row_number() OVER (PARTITION BY claim_id ORDER BY distance, id) AS rank
-  FROM (SELECT q.claim_id, c.id, round(list_distance(q.v, c.v) ^ 2, 9) AS distance
+  FROM (SELECT q.claim_id, c.id, list_distance(q.v, c.v) ^ 2 AS distance
         FROM q CROSS JOIN c WHERE q.iteration = 1)
   QUALIFY rank <= 3),
 single AS (
@@ -104,7 +104,7 @@ def loop_outcomes(spark, sf_dir):
 
 def single_outcomes(spark, sf_dir):
     emb, q, c = _tables(spark, sf_dir)
-    hits = knn_join(q.where(F.col("iteration") == 1), c, K_SINGLE, query_keys=["claim_id"], corpus_key="id")
+    hits = knn_join(q.where(F.col("iteration") == 1), c, K_SINGLE, query_keys=["claim_id"], corpus_key="id", round_digits=9)
     return agentic.single_shot(hits)
 
 
@@ -361,6 +361,6 @@ def agentic_loop_rounds(spark, sf_dir):
 
     def knn(qq, cc):
         return knn_join(qq, cc, 5, query_keys=["claim_id", "iteration"], corpus_key="id",
-                        corpus_rows=n_c, query_rows=n_claims)
+                        corpus_rows=n_c, query_rows=n_claims, round_digits=9)
     out = run_loop_rounds(claims, q, c, knn)
     return out.select("claim_id", "status", "iterations", "tokens_spent", _cites_str().alias("citations"))

@@ -5,11 +5,11 @@ User turns play the claim questions and search queries, assistant turns the raw
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citesift.catalog import query
 from citesift.functions import text as tx
-from citesift.operators.ordinal import ordinal_within
 from citesift.sources.tables import read_table
 
 WS = tx.PY_WHITESPACE
@@ -53,16 +53,11 @@ def clean_rewrite(spark, sf_dir):
 
 
 @query("reformulation_prompt", sql=f"""
-WITH u AS (
-  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k
+WITH p AS (
+  SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question,
+         coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                  []) AS prior
   FROM conversations WHERE role = 'user'),
-q AS (SELECT conv_id, text AS question FROM u WHERE k = 1),
-p AS (
-  SELECT u.conv_id, u.turn, q.question,
-         list_filter([p2.text, p1.text], lambda x: x IS NOT NULL) AS prior
-  FROM u JOIN q ON q.conv_id = u.conv_id
-  LEFT JOIN u p1 ON p1.conv_id = u.conv_id AND p1.k = u.k - 1
-  LEFT JOIN u p2 ON p2.conv_id = u.conv_id AND p2.k = u.k - 2),
 r AS (
   SELECT conv_id, turn,
          CASE WHEN len(prior) = 0 THEN question ELSE
@@ -76,13 +71,11 @@ r AS (
 SELECT conv_id, turn, CAST(length(prompt) AS INTEGER) AS prompt_len, sha256(prompt) AS prompt_sha FROM r""")
 def reformulation_prompt(spark, sf_dir):
     """PRJ-8: the k-th user turn of a conversation is the k-th search; from the second on, the provider is asked
-    to rewrite the first turn given the (at most two, as in the 3-iteration loop) previous searches."""
+    to rewrite the first turn given all previous searches in order.  One window over a conversation's own
+    turns: the prompt cites them all, so they meet in one row anyway."""
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
-    u = ordinal_within(conv, ["conv_id"], ["turn"], name="k")
-    q = u.where(F.col("k") == 1).select("conv_id", F.col("text").alias("question"))
-    p1 = u.select("conv_id", (F.col("k") + 1).alias("k"), F.col("text").alias("p1"))
-    p2 = u.select("conv_id", (F.col("k") + 2).alias("k"), F.col("text").alias("p2"))
-    j = u.join(q, "conv_id").join(p1, ["conv_id", "k"], "left").join(p2, ["conv_id", "k"], "left")
-    prior = F.filter(F.array("p2", "p1"), lambda x: x.isNotNull())
-    prompt = tx.reformulation_prompt("question", prior)
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    j = conv.select("conv_id", "turn", F.first("text").over(turns).alias("question"),
+                    F.collect_list("text").over(turns.rowsBetween(Window.unboundedPreceding, -1)).alias("prior"))
+    prompt = tx.reformulation_prompt("question", "prior")
     return j.select("conv_id", "turn", F.length(prompt).alias("prompt_len"), F.sha2(prompt, 256).alias("prompt_sha"))

@@ -20,9 +20,9 @@ SQL_Q = """q AS (SELECT vec_id - vec_id % 25 AS claim_id, CAST(vec_id % 25 + 1 A
             FROM embeddings WHERE vec_id % 25 < 3)"""
 SQL_C = """c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 25 >= 3)"""
 SQL_KNN5 = """knn AS (
-  SELECT claim_id, iteration, id, distance,
-         CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY distance, id) AS INTEGER) AS rank
-  FROM (SELECT q.claim_id, q.iteration, c.id, round(list_distance(q.v, c.v) ^ 2, 9) AS distance
+  SELECT claim_id, iteration, id, round(d, 9) AS distance,
+         CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY d, id) AS INTEGER) AS rank
+  FROM (SELECT q.claim_id, q.iteration, c.id, list_distance(q.v, c.v) ^ 2 AS d
         FROM q CROSS JOIN c)
   QUALIFY rank <= 5)"""
 SQL_RRF = """fused AS (
@@ -40,7 +40,7 @@ def loop_hits(spark, sf_dir, k=K_LOOP, scope=False):
     emb = read_table(spark, sf_dir, "embeddings")
     q = cl.query_vectors(emb)
     c = cl.corpus_vectors(emb)
-    return knn_join(q, c, k, query_keys=["claim_id", "iteration"], corpus_key="id",
+    return knn_join(q, c, k, query_keys=["claim_id", "iteration"], corpus_key="id", round_digits=9,
                     scope_col="label" if scope else None)
 
 
@@ -67,7 +67,7 @@ def knn_topk_blocked(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     hits = knn_join(cl.query_vectors(emb), cl.corpus_vectors(emb), K_LOOP,
                     query_keys=["claim_id", "iteration"], corpus_key="id",
-                    corpus_block_rows=64, query_block_rows=16)
+                    corpus_block_rows=64, query_block_rows=16, round_digits=9)
     return hits.select("claim_id", "iteration", "id", "distance", "rank")
 
 
@@ -110,24 +110,24 @@ def union_dedup_fusion(spark, sf_dir):
 
 @query("single_shot_top3", sql=f"""WITH {SQL_Q},
 {SQL_C}
-SELECT claim_id, id, distance,
-       CAST(row_number() OVER (PARTITION BY claim_id ORDER BY distance, id) AS INTEGER) AS rank
-FROM (SELECT q.claim_id, c.id, round(list_distance(q.v, c.v) ^ 2, 9) AS distance
+SELECT claim_id, id, round(d, 9) AS distance,
+       CAST(row_number() OVER (PARTITION BY claim_id ORDER BY d, id) AS INTEGER) AS rank
+FROM (SELECT q.claim_id, c.id, list_distance(q.v, c.v) ^ 2 AS d
       FROM q CROSS JOIN c WHERE q.iteration = 1)
 QUALIFY rank <= 3""")
 def single_shot_top3(spark, sf_dir):
     """ORD-2: single-shot retrieval uses the claim as written (iteration 1) and k = 3."""
     emb = read_table(spark, sf_dir, "embeddings")
     q = cl.query_vectors(emb).where(F.col("iteration") == 1)
-    return knn_join(q, cl.corpus_vectors(emb), K_SINGLE, query_keys=["claim_id"], corpus_key="id").select(
+    return knn_join(q, cl.corpus_vectors(emb), K_SINGLE, query_keys=["claim_id"], corpus_key="id", round_digits=9).select(
         "claim_id", "id", "distance", "rank")
 
 
 SQL_SCOPED = f"""WITH {SQL_Q},
 {SQL_C}
-SELECT claim_id, iteration, label, id, distance,
-       CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY distance, id) AS INTEGER) AS rank
-FROM (SELECT q.claim_id, q.iteration, q.label, c.id, round(list_distance(q.v, c.v) ^ 2, 9) AS distance
+SELECT claim_id, iteration, label, id, round(d, 9) AS distance,
+       CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY d, id) AS INTEGER) AS rank
+FROM (SELECT q.claim_id, q.iteration, q.label, c.id, list_distance(q.v, c.v) ^ 2 AS d
       FROM q JOIN c ON q.label = c.label)
 QUALIFY rank <= 5"""
 
@@ -169,16 +169,16 @@ def postfilter_loss(spark, sf_dir):
 
 @query("cosine_distance", sql=f"""WITH {SQL_Q},
 {SQL_C}
-SELECT claim_id, iteration, id, distance,
-       CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY distance, id) AS INTEGER) AS rank
-FROM (SELECT q.claim_id, q.iteration, c.id, round(1 - list_cosine_similarity(q.v, c.v), 9) AS distance
+SELECT claim_id, iteration, id, round(d, 9) AS distance,
+       CAST(row_number() OVER (PARTITION BY claim_id, iteration ORDER BY d, id) AS INTEGER) AS rank
+FROM (SELECT q.claim_id, q.iteration, c.id, 1 - list_cosine_similarity(q.v, c.v) AS d
       FROM q CROSS JOIN c)
 QUALIFY rank <= 5""")
 def cosine_distance(spark, sf_dir):
     """PRJ-11: the hosted store's ``1 - similarity`` metric, top 5."""
     emb = read_table(spark, sf_dir, "embeddings")
     return knn_join(cl.query_vectors(emb), cl.corpus_vectors(emb), K_LOOP, query_keys=["claim_id", "iteration"],
-                    corpus_key="id", metric="cosine").select("claim_id", "iteration", "id", "distance", "rank")
+                    corpus_key="id", metric="cosine", round_digits=9).select("claim_id", "iteration", "id", "distance", "rank")
 
 
 @query("fused_with_metadata", sql=f"""{WITH_KNN5},

@@ -14,7 +14,9 @@ from citesift.streaming import jobs
 @query("stream_budget_counter", sql=ORACLES["budget_counter"])
 def stream_budget_counter(spark, sf_dir):
     """STR-1: keyed spend counter over a stream of gate calls with retried deliveries."""
-    return jobs.stream_spend_counter(spark, sf_dir).select("user_id", "calls", "tokens_spent")
+    def twice(calls):
+        return calls.unionByName(calls.where(F.col("event_type") == "error"))
+    return jobs.stream_spend_counter(spark, sf_dir, deliveries=twice).select("user_id", "calls", "tokens_spent")
 
 
 @query("stream_budget_gate", sql=ORACLES["budget_gate"])
@@ -28,7 +30,7 @@ def stream_budget_gate(spark, sf_dir):
 def stream_claim_intake(spark, sf_dir):
     """STR-3: claims arriving as a stream each run through the loop once (idempotent upsert by claim)."""
     def knn(q, corpus):
-        return knn_join(q, corpus, 5, query_keys=["claim_id", "iteration"], corpus_key="id")
+        return knn_join(q, corpus, 5, query_keys=["claim_id", "iteration"], corpus_key="id", round_digits=9)
     out = jobs.stream_claim_intake(spark, sf_dir, knn)
     return out.select("claim_id", "status", "iterations", "tokens_spent",
                       F.array_join(F.transform("citations", lambda x: x.cast("string")), ",").alias("citations"))

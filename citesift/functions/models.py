@@ -11,8 +11,6 @@ An embedding model registered by name is built once per task inside an iterator
 
 from __future__ import annotations
 
-import hashlib
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -51,12 +49,7 @@ class Provider:
 
 
 class DeterministicProvider(Provider):
-    """PRJ-5: a JSON answer carrying the first 8 hex digits of SHA-256(prompt); same text in both forms."""
-
-    def complete(self, prompt: str, max_tokens: int = DEFAULT_MAX_TOKENS) -> str:
-        digest = hashlib.sha256(prompt.encode("utf-8")).hexdigest()[:8]
-        answer = {"answer": f"{tx.FAKE_ANSWER_PREFIX}{digest}]", "confidence": 0.5, "citations": []}
-        return json.dumps(answer, separators=(",", ":"))
+    """PRJ-5: a JSON answer carrying the first 8 hex digits of SHA-256(prompt), as a JVM expression."""
 
     def column(self, prompt: Column) -> Column:
         return tx.deterministic_completion(prompt)
@@ -88,8 +81,9 @@ def call_with_retry(provider: Provider, prompt: str, *, max_tokens: int = DEFAUL
             if n == max_attempts:
                 return None, n, FAILURE_TRANSIENT
             sleep(backoff_s * 2 ** (n - 1))
-        except Exception:  # noqa: BLE001 - anything else is not worth retrying
+        except PermanentProviderError:
             return None, n, FAILURE_PERMANENT
+        # any other exception is a fault of the provider itself and fails the job
     return None, max_attempts, FAILURE_TRANSIENT
 
 

@@ -46,11 +46,13 @@ def max_calls_bound(calls: DataFrame, *, cost=COST_PER_CALL, budget=DEFAULT_BUDG
     zero (no bound exists).
     """
     if not isinstance(cost, Column) and not isinstance(budget, Column):
-        return math.floor(budget / cost) + 1 if cost > 0 else None
-    row = calls.agg(F.min(_col(cost)).alias("c"), F.max(_col(budget)).alias("b")).first()
+        return max(0, math.floor((DEFAULT_BUDGET if budget is None else budget) / cost)) + 1 if cost > 0 else None
+    # the same default as the gate's own test, so a claim without a budget counts with it here too; a
+    # negative budget still has its one refused call
+    row = calls.agg(F.min(_col(cost)).alias("c"), F.max(F.coalesce(_col(budget), F.lit(DEFAULT_BUDGET))).alias("b")).first()
     if row is None or row["c"] is None or row["c"] <= 0:
         return None
-    return math.floor((row["b"] if row["b"] is not None else DEFAULT_BUDGET) / row["c"]) + 1
+    return max(0, math.floor(row["b"] / row["c"])) + 1
 
 
 def sequential_gate(calls: DataFrame, claim_keys: list[str], order_cols: list[str], *,

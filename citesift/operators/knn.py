@@ -3,8 +3,8 @@
 Exact k-NN is a blocked join: corpus rows are hashed into blocks of at most ``corpus_block_rows``
 per scope, query rows into blocks of at most ``query_block_rows``; each (scope, query block, corpus
 block) cell meets in one ``cogroup`` task that computes the distance matrix with numpy and emits
-only its local top-k candidates.  A ``row_number() <= k`` window over those few candidates per query
-gives the final ranking (Spark plans it as a partial WindowGroupLimit before the shuffle).
+exactly its local top-k rows, ties at the cut decided by the corpus key.  A ``row_number() <= k`` window over
+those few rows per query gives the final ranking (Spark plans it as a partial WindowGroupLimit before the shuffle).
 
 Nothing is cross-joined row by row, no group is larger than one block on each side, and a hot scope
 (say a third of the corpus in one label) is split into proportionally more corpus blocks.
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2sq", "cosine")
-ROUND_DIGITS = 9
 
 
 def _field_ddl(df: DataFrame, names: list[str]) -> list[str]:
@@ -37,61 +36,72 @@ def _field_ddl(df: DataFrame, names: list[str]) -> list[str]:
 
 
 def _block_kernel(query_keys, corpus_key, vector_col, k, metric, passthrough):
-    """Build the per-cell function: local top-k (ties at the cut kept) of each query in the cell."""
+    """Build the per-cell function: the k nearest corpus rows of each query by (exact distance, key)."""
 
     def run(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         out_cols = list(query_keys) + list(passthrough) + [corpus_key, "distance"]
         if qdf.empty or cdf.empty:
             return pd.DataFrame({c: [] for c in out_cols})
+        # rows in key order: a stable sort by distance then breaks ties by key
+        cdf = cdf.sort_values(corpus_key, kind="stable")
         Q = np.stack(qdf[vector_col].to_numpy()).astype(np.float64)
         C = np.stack(cdf[vector_col].to_numpy()).astype(np.float64)
         ids = cdf[corpus_key].to_numpy()
+        qn, cn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", C, C)
         if metric == "cosine":
-            qn = np.linalg.norm(Q, axis=1)
-            cn = np.linalg.norm(C, axis=1)
-        else:
-            qn = np.einsum("ij,ij->i", Q, Q)
-            cn = np.einsum("ij,ij->i", C, C)
+            qn, cn = np.sqrt(qn), np.sqrt(cn)
         kk = min(k, C.shape[0])
         # bound the working matrix to ~8M doubles
         step = max(1, 8_000_000 // max(1, C.shape[0]))
-        parts = []
+        at, found, distance = [], [], []
         for s in range(0, Q.shape[0], step):
-            Qs = Q[s:s + step]
+            Qs, n = Q[s:s + step], qn[s:s + step, None]
             G = Qs @ C.T
             if metric == "cosine":
-                approx = 1.0 - G / np.maximum(qn[s:s + step, None] * cn[None, :], 1e-300)
+                length = n * cn[None, :]
+                approx = 1.0 - np.divide(G, length, out=np.zeros_like(G), where=length > 0)
+                slack = np.full(len(Qs), 1e-12)
             else:
-                approx = qn[s:s + step, None] + cn[None, :] - 2.0 * G
+                approx = n + cn[None, :] - 2.0 * G
+                # the expansion loses digits in proportion to the norms, not to the distance
+                slack = 1e-12 * (n[:, 0] + cn.max())
             kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            tol = 1e-6 * np.maximum(1.0, np.abs(kth)) + 1e-8
-            qi, ci = np.nonzero(approx <= (kth + tol)[:, None])
-            # exact distance for the few candidates, computed the direct way
-            if metric == "cosine":
-                num = np.einsum("ij,ij->i", Qs[qi], C[ci])
-                exact = 1.0 - num / (qn[s + qi] * cn[ci])
-            else:
-                diff = Qs[qi] - C[ci]
-                exact = np.einsum("ij,ij->i", diff, diff)
-            rows = qdf.iloc[s + qi][list(query_keys) + list(passthrough)].reset_index(drop=True)
-            rows[corpus_key] = ids[ci]
-            rows["distance"] = np.round(exact, ROUND_DIGITS)
-            parts.append(rows)
-        return pd.concat(parts, ignore_index=True)[out_cols]
+            for i in range(len(Qs)):
+                near = np.flatnonzero(approx[i] <= kth[i] + 2 * slack[i])
+                # exact distances the direct way, a bounded number of rows at a time
+                exact = np.concatenate([_direct(Qs[i], C[near[j:j + 65536]], metric) for j in range(0, len(near), 65536)])
+                best = np.argsort(exact, kind="stable")[:kk]
+                at.append(np.full(len(best), s + i))
+                found.append(near[best])
+                distance.append(exact[best])
+        rows = qdf.iloc[np.concatenate(at)][list(query_keys) + list(passthrough)].reset_index(drop=True)
+        rows[corpus_key] = ids[np.concatenate(found)]
+        rows["distance"] = np.concatenate(distance)
+        return rows[out_cols]
 
     return run
 
 
+def _direct(q: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of one query; a zero vector has no direction and is at cosine distance 1 from everything."""
+    if metric == "cosine":
+        length = np.linalg.norm(q) * np.linalg.norm(rows, axis=1)
+        return 1.0 - np.divide(np.einsum("ij,j->i", rows, q), length, out=np.zeros(len(rows)), where=length > 0)
+    diff = rows - q
+    return np.einsum("ij,ij->i", diff, diff)
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[str],
              corpus_key: str = "id", vector_col: str = "embedding", scope_col: str | None = None,
              metric: str = "l2sq", corpus_block_rows: int = 65536, query_block_rows: int = 16384,
              rank_col: str = "rank", distance_col: str = "distance", corpus_rows: int | None = None,
-             query_rows: int | None = None) -> DataFrame:
+             query_rows: int | None = None, round_digits: int | None = None) -> DataFrame:
     """Exact top-k corpus rows per query row, distances ascending, ties broken by corpus key.
 
     ``scope_col`` (FLT-1 / JON-2) restricts each query to corpus rows with the same scope value; the
     scope is applied before ranking, which is not the same as filtering a global top-k afterwards.
-    Output: query keys, [scope], corpus key, distance (rounded to 9 places), rank (1-based).
+    Output: query keys, [scope], corpus key, distance, rank (1-based).  Ranks follow the exact distance;
+    ``round_digits`` rounds the distance column afterwards, for display and comparison.
     ``corpus_rows`` / ``query_rows`` are upper bounds the caller already holds (unscoped join only); they
     only size the blocks and spare the count jobs.
     """
@@ -142,6 +152,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     w = Window.partitionBy(*query_keys).orderBy(F.col("distance"), F.col(corpus_key))
     ranked = (cand.withColumn(rank_col, F.row_number().over(w))
               .where(F.col(rank_col) <= k))
+    if round_digits is not None:
+        ranked = ranked.withColumn("distance", F.round("distance", round_digits))
     if distance_col != "distance":
         ranked = ranked.withColumnRenamed("distance", distance_col)
     return ranked

@@ -44,9 +44,12 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[s
             vector_col: str = "embedding", dim: int, n_tables: int = 4, n_bits: int = 6, seed: int = 7) -> DataFrame:
     """Approximate top-k per query: exact ranking restricted to shared-bucket candidates."""
     fn = bucket_udf(dim, n_tables, n_bits, seed)
+    queries, corpus = (df.where(F.col(vector_col).isNotNull()) for df in (queries, corpus))
     qb = queries.select(*query_keys, vector_col, F.explode(fn(F.col(vector_col))).alias("_bucket"))
     cb = corpus.select(corpus_key, vector_col, F.explode(fn(F.col(vector_col))).alias("_bucket"))
-    per_bucket = knn_join(qb, cb, k, query_keys=list(query_keys), corpus_key=corpus_key, vector_col=vector_col,
+    # the cut to k comes per bucket first: copies of one id found in several tables must not use up the k
+    qb = qb.withColumn("_in", F.col("_bucket"))
+    per_bucket = knn_join(qb, cb, k, query_keys=[*query_keys, "_in"], corpus_key=corpus_key, vector_col=vector_col,
                           scope_col="_bucket")
     merged = per_bucket.groupBy(*query_keys, corpus_key).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy(*query_keys).orderBy(F.col("distance"), F.col(corpus_key))

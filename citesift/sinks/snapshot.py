@@ -1,8 +1,8 @@
 """Snapshot tables without a table format (SNK-2/3/4/5, H6).
 
-A table lives in ``<root>/snapshot=<n>/`` folders plus a small ``_CURRENT`` pointer file naming the live
-one.  A writer never overwrites the folder being read: it writes ``snapshot=<n+1>`` in full and only then
-moves the pointer, so a failed or retried job leaves the previous snapshot intact.
+A table lives in ``<root>/snapshot=<n>/`` folders; the live one is the highest ``n`` with a marker file
+``<root>/_commits/<n>``.  A writer fills a new folder and only then adds its marker, so a failed or retried job
+leaves the previous snapshot live and intact.
 """
 
 from __future__ import annotations
@@ -20,32 +20,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p, jvm
 
 
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    fs, path, _ = _fs(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [str(x.getPath().getName()) for x in fs.listStatus(path)]
+    return [int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()]
+
+
 def current_snapshot(spark: SparkSession, root: str) -> int | None:
-    fs, _, jvm = _fs(spark, root)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    return int(line.strip()) if line else None
-
-
-def _set_pointer(spark: SparkSession, root: str, n: int) -> None:
-    fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(f"{n}\n", "utf-8"))
-    finally:
-        out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    """The latest committed snapshot; folders without a commit marker are unfinished and never read."""
+    return max(_numbers(spark, f"{root}/_commits", ""), default=None)
+
+
+def _commit(spark: SparkSession, root: str, n: int) -> None:
+    """Markers are only ever added: there is no moment without a live snapshot, and creating one is atomic."""
+    fs, path, _ = _fs(spark, f"{root}/_commits/{n}")
+    fs.create(path, False).close()
 
 
 def read_snapshot(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
@@ -59,19 +50,20 @@ def read_snapshot(spark: SparkSession, root: str, schema=None) -> DataFrame | No
 
 def write_snapshot(df: DataFrame, root: str, *, partition_by: list[str] | None = None,
                    single_file: bool = False) -> int:
-    """Write ``df`` as the next snapshot and move the pointer to it; returns the snapshot number.
+    """Write ``df`` as the next snapshot and commit it; returns the snapshot number.
 
     ``single_file`` mirrors the reference archive's one-file output; it funnels the write through one
     task, so it is off by default.
     """
     spark = df.sparkSession
-    n = (current_snapshot(spark, root) or 0) + 1
+    # past every folder that exists, so that nothing written before is overwritten, committed or not
+    n = max([0, *_numbers(spark, root, "snapshot="), *_numbers(spark, f"{root}/_commits", "")]) + 1
     out = df.coalesce(1) if single_file else df
     w = out.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{root}/snapshot={n}")
-    _set_pointer(spark, root, n)
+    _commit(spark, root, n)
     return n
 
 

@@ -42,14 +42,34 @@ def test_unknown_provider_is_an_error(spark):
         m.complete(df, "q", provider="nope")
 
 
+class Stub(m.Provider):
+    """The same answer per prompt as a column."""
+
+    def complete(self, prompt, max_tokens=512):
+        return f"<{prompt}>"
+
+    def column(self, prompt):
+        return F.concat(F.lit("<"), prompt, F.lit(">"))
+
+
 def test_mapinpandas_path_equals_column_path(spark):
+    m.register_provider("stub", Stub)
     df = spark.createDataFrame([(1, "hello"), (2, "wörld\\nline"), (3, None)], "id int, q string")
-    a = m.complete(df, "q", prefer_column=False).orderBy("id").collect()
-    b = m.complete(df, "q").orderBy("id").collect()
+    a = m.complete(df, "q", provider="stub", prefer_column=False).orderBy("id").collect()
+    b = m.complete(df, "q", provider="stub").orderBy("id").collect()
     assert a == b
     assert a[2]["completion"] is None and a[2]["attempts"] == 0
 
 
+def test_a_faulty_provider_fails_the_job():
+    class Broken(m.Provider):
+        def complete(self, prompt, max_tokens=512):
+            raise KeyError("not a provider error")
+
+    with pytest.raises(KeyError):
+        m.call_with_retry(Broken(), "x")
+
+
 def test_failures_are_rows_not_job_errors(spark):
     m.register_provider("flaky", Flaky)
     df = spark.createDataFrame([("a",), ("p",), ("tt",)], "q string")
