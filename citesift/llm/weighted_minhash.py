@@ -190,8 +190,11 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     nodes = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
     banded = nodes.select(F.col("h1").alias("node"), F.posexplode("bands").alias("band", "value")).select(
         "node", F.xxhash64("band", "value").alias("v"))
-    crowded = banded.groupBy("v").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("v")
+    # written by themselves: a join of two plain scans is split where a value is in very many texts
+    banded = tables.write(banded, "banded")
+    crowded = tables.write(banded.groupBy("v").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("v"), "crowded")
     group = tables.write(banded.join(crowded, "v"), "group0")
+    tables.drop("banded", "crowded")
     wanted = group.select(F.col("node").alias("h1")).distinct()
     texts = tables.write(hashed.select("h1", "text").join(wanted, "h1").groupBy("h1").agg(F.first("text").alias("text")), "texts")
 
