@@ -30,6 +30,8 @@ TERMS = 200
 STEM = (4, 12)
 # a head must be rarer by chance than one in e**14, since about a million heads are tried
 EVIDENCE = 14.0
+# and this much of it must come from texts that no other head explains
+UNEXPLAINED = 9.0
 # a cell with a smaller log likelihood ratio says nothing by itself, and many such cells must not add up
 TELLING = 2.0
 WINDOW = 8
@@ -239,27 +241,67 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["head", "toxic", "clean", "whole"])
 
 
-def _lexicon(counts: list, terms: int) -> Lexicon:
-    """The longest head of every family of heads that has almost all of its toxic documents."""
-    heads = {r.head: r for r in counts}
-    chosen: dict[str, object] = {}
-    for head in sorted(heads, key=lambda h: (len(h), h)):
-        if any(head[:k] in heads for k in range(STEM[0], len(head))):
-            continue
-        # follow the family down: several children share the documents, or one child keeps them all
-        todo = [head]
-        while todo:
-            at = todo.pop()
-            kids = [h for h in heads if len(h) == len(at) + 1 and h.startswith(at)]
-            kept = [k for k in kids if heads[k].toxic >= 0.97 * heads[at].toxic]
-            if kept:
-                todo.append(kept[0])
-            else:
-                chosen[at] = heads[at]
-    best = sorted(chosen.values(), key=lambda r: (-r.toxic, r.head))[:terms]
-    names = [r.head for r in best]
-    stems = [r.whole < 0.9 * r.toxic for r in best]
-    return Lexicon(names, stems, [1 if len(n) < 9 else 2 for n in names])
+def _holders(heads: dict[str, int]):
+    """For every toxic text the numbers of the heads it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _texts(batch, "text"):
+                out = []
+                for text in texts:
+                    codes, begin, end, _ = _word_codes([text])
+                    line = codes.tobytes().decode("utf-32-le")
+                    seen = {line[a:b] for a, b in zip(begin.tolist(), end.tolist())}
+                    found = {heads.get(w[:k], -1) for w in seen for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
+                    out.append(sorted(found - {-1}))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["heads"])
+
+    return run
+
+
+def _lexicon(counts: list, holders: list[list[int]], n_toxic: int, n_clean: int, terms: int) -> Lexicon:
+    """Heads taken one by one, each for the toxic texts that no head before it explains.
+
+    Whatever merely stands beside a term, in copies of one text for instance, explains nothing by itself.  Of
+    equally good heads the longest is taken.
+    """
+    where: list[list[int]] = [[] for _ in counts]
+    for d, found in enumerate(holders):
+        for h in found:
+            where[h].append(d)
+    left = np.array([len(w) for w in where], dtype=np.float64)
+    clean = np.array([r.clean for r in counts], dtype=np.float64)
+    length = np.array([len(r.head) for r in counts])
+    share = n_toxic / (n_toxic + n_clean)
+    open_texts = np.ones(len(holders), bool)
+    chosen = []
+    while len(counts) and len(chosen) < terms:
+        both = left + clean
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = np.where(left > 0, left * np.log(left / (both * share)), 0.0)
+            evidence += np.where(clean > 0, clean * np.log(clean / (both * max(1 - share, 1e-9))), 0.0)
+        evidence[left < 3 * clean] = 0.0
+        best = int(np.lexsort((length, np.round(evidence, 6)))[-1])
+        if evidence[best] < UNEXPLAINED:
+            break
+        chosen.append(best)
+        for d in where[best]:
+            if open_texts[d]:
+                open_texts[d] = False
+                left[holders[d]] -= 1
+    # a head that the chosen ones explain is a term of its own if it keeps very different company: it stands in
+    # texts with many different sets of chosen heads, while a copied text brings one set however often it comes
+    picked = set(chosen)
+    company = [frozenset(picked.intersection(h)) for h in holders]
+    for i in np.lexsort((-length, -np.array([r.toxic for r in counts])))[:len(counts) if chosen else 0].tolist():
+        sets = len({company[d] - {i} for d in where[i]})
+        names = [counts[j].head for j in chosen]
+        if i not in picked and len(chosen) < terms and sets * -math.log(share) >= EVIDENCE and sets > 3 * clean[i] and not any(
+                n.startswith(counts[i].head) or counts[i].head.startswith(n) for n in names):
+            chosen.append(i)
+    rows = [counts[i] for i in chosen]
+    names = [r.head for r in rows]
+    return Lexicon(names, [r.whole < 0.9 * r.toxic for r in rows], [1 if len(n) < 9 else 2 for n in names])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = TERMS) -> Model:
@@ -290,14 +332,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
         evidence = (F.col("toxic") * F.log(F.col("toxic") / (both * share))
                     + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(1)) / (both * max(1 - share, 1e-9))))
         telling = heads.where((F.col("toxic") >= 0.005 * n_toxic) & (F.col("toxic") >= 3)
-                              & (F.col("clean") * 4 <= F.col("toxic"))).where(evidence >= EVIDENCE)
-        lexicon = _lexicon(telling.orderBy(F.desc("toxic"), "head").limit(50 * terms).collect(), terms)
+                              & (F.col("clean") * 8 <= F.col("toxic"))).where(evidence >= EVIDENCE)
+        counts = telling.orderBy(F.desc("toxic"), "head").limit(50 * terms).collect()
+        # one short list for each of at most ``rows`` texts
+        holders = fit_rows.where("toxic > 0").select("text").mapInArrow(
+            _holders({r.head: i for i, r in enumerate(counts)}), "heads array<int>")
+        lexicon = _lexicon(counts, [r.heads for r in holders.collect()], n_toxic, n_clean, terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch, "text"):
                 seen: dict = defaultdict(lambda: [0, 0])
                 for found, toxic in zip(cells(lexicon, texts), part.column("toxic").to_pylist()):
+                    if toxic:
+                        # what a term itself explains says nothing for the near misses beside it
+                        found = {c for c in found if not c[1] and not c[2]} or found
                     for c in found or {(-1, 0, False)}:
                         seen[c][0 if toxic else 1] += 1
                 if seen:
