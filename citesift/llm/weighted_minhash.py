@@ -1,26 +1,27 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set: its runs of ``shingle`` words, each weighed by how often the text holds it times its
-inverse document frequency.  Document frequencies are counted over all documents in a table of fixed size
+A text is a weighted set: its runs of ``shingle`` words, each weighed by ``1 + ln(times)`` times a smoothed inverse
+document frequency between 1 and 2, so that neither a line repeated within a text nor the copies of a text
+decide alone.  Document frequencies are counted over all documents in a table of fixed size
 (shingles share its cells by hash, equally for every text), so the model that tasks need has a proven bound.
 Consistent weighted samples agree between two texts as often as their weighted Jaccard similarity says; a few
 samples together are a band, and texts that share a band are candidates.  Every candidate pair that decides
 something is verified by its exact weighted Jaccard similarity.
 
-Equal texts are one node.  In a band's group, the smallest node is compared with all others; only where a group
-still holds different components do further nodes lead, a growing number each round, until every pair of the
-group is either compared or already in one component.  No link between components is left out.
+Equal texts are one node.  In a band's group, the node that meets most others is compared with all of them, which
+settles most groups in a number of comparisons that follows their size.  Groups that still hold nodes of
+different components then meet in blocks: inside a task, every pair of different components is compared unless
+earlier links connect it.  Only links are written out, and no link between components is left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
@@ -29,9 +30,11 @@ from citesift.llm.shared import Tables, fresh
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 10, 2
+BANDS, ROWS = 12, 3
 CELL_BITS = 18
 SLICE_PAIRS = 128
+# nodes of a group that meet in one task
+BLOCK = 384
 
 _U = np.uint64
 _LEVELS = 1 << 16
@@ -72,6 +75,15 @@ def _cells(value: np.ndarray) -> np.ndarray:
     return (W.mix(value) >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
+def _weights(value: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return (1.0 + np.log(times)) * idf[_cells(value)]
+
+
+def _idf(held: np.ndarray, total: int) -> np.ndarray:
+    """Between 1 and 2: a shingle of every document, and one that no other document shares."""
+    return 1.0 + np.log1p(total / np.maximum(held, 1)) / math.log1p(max(1, total))
+
+
 def _frequencies(width: int):
     """Documents per cell, summed over a task."""
 
@@ -101,7 +113,7 @@ def _signatures(width: int, bands: int, rows: int, shared):
                 text, value, times = shingles(raw, offs, width)
                 heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
                 sizes = np.diff(np.append(heads, len(text)))
-                log_w = np.log(times * idf[_cells(value)])
+                log_w = np.log(_weights(value, times, idf))
                 out = np.zeros((bands, len(heads)), dtype=_U)
                 for k, seed in enumerate(seeds if len(heads) else ()):
                     x = W.mix(value ^ _U(seed))
@@ -125,38 +137,78 @@ def _signatures(width: int, bands: int, rows: int, shared):
     return run
 
 
+class _Sets:
+    """Weighted sets of texts, and whether two of them are similar enough."""
+
+    def __init__(self, width: int, similar: float, idf: np.ndarray):
+        self.width, self.similar, self.idf = width, similar, idf
+
+    def of(self, body: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        _, value, times = shingles(np.frombuffer(body, dtype=np.uint8), np.array([0, len(body)]), self.width)
+        weight = _weights(value, times, self.idf)
+        return value, weight, float(weight.sum())
+
+    def alike(self, a: tuple, b: tuple) -> bool:
+        (x, wx, sum_x), (y, wy, sum_y) = a, b
+        if min(sum_x, sum_y) < self.similar * max(sum_x, sum_y) * (1 - 1e-9):
+            return False
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        both = x[at] == y
+        inner = float(np.minimum(wx[at[both]], wy[both]).sum())
+        return inner >= self.similar * (sum_x + sum_y - inner) * (1 - 1e-12)
+
+
 def _verify(width: int, similar: float, shared):
     """The pairs (leader, node) whose weighted Jaccard similarity is high enough."""
 
     def run(rows: pa.Table) -> pa.Table:
-        idf = shared.value
+        sets = _Sets(width, similar, shared.value)
         leader, node = rows.column("a").to_pylist(), rows.column("b").to_pylist()
         text = rows.column("text").cast(pa.binary()).to_pylist()
-        known: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
-        out_a, out_b = [], []
-
-        def weigh(body: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-            raw = np.frombuffer(body, dtype=np.uint8)
-            _, value, times = shingles(raw, np.array([0, len(raw)]), width)
-            weight = times * idf[_cells(value)]
-            return value, weight, float(weight.sum())
-
-        for a, b, body in zip(leader, node, text):
-            if b is None:
-                known[a] = weigh(body)
-        for a, b, body in zip(leader, node, text):
-            if b is None:
-                continue
-            x, wx, sum_x = known[a]
-            y, wy, sum_y = weigh(body)
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            both = x[at] == y
-            inner = float(np.minimum(wx[at[both]], wy[both]).sum())
-            if inner >= similar * (sum_x + sum_y - inner) * (1 - 1e-12):
-                out_a.append(a)
-                out_b.append(b)
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        known = {a: sets.of(body) for a, b, body in zip(leader, node, text) if b is None}
+        good = [(a, b) for a, b, body in zip(leader, node, text) if b is not None and sets.alike(known[a], sets.of(body))]
+        return pa.table([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _settle(width: int, similar: float, shared):
+    """Links between nodes of different components that meet in a cell of a group.
+
+    A pair is compared in the first band that both share.  Nodes that a link has joined are not compared
+    again, neither with each other nor with others of their components.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = _Sets(width, similar, shared.value)
+        v, node, comp, band, block, lo, hi = (np.asarray(rows.column(c)) for c in ("v", "node", "c", "band", "block", "lo", "hi"))
+        bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(v), -1)
+        text = rows.column("text")
+        known: dict[int, tuple] = {}
+
+        def of(i: int) -> tuple:
+            if int(node[i]) not in known:
+                known[int(node[i])] = sets.of(text[i].as_py().encode("utf-8"))
+            return known[int(node[i])]
+
+        out: list[tuple[int, int]] = []
+        order = np.lexsort((node, v))
+        for at in np.split(order, np.flatnonzero(np.diff(v[order])) + 1):
+            label = comp[at].copy()
+            inner = lo[at[0]] == hi[at[0]]
+            left = np.arange(len(at)) if inner else np.flatnonzero(block[at] == lo[at[0]])
+            for i in left.tolist():
+                first = np.argmax(bands[at] == bands[at[i]], axis=1) == band[at[i]]
+                other = np.arange(len(at)) > i if inner else block[at] != lo[at[0]]
+                open_ones = np.flatnonzero(first & other & (label != label[i]))
+                while len(open_ones):
+                    j, open_ones = int(open_ones[0]), open_ones[1:]
+                    if sets.alike(of(at[i]), of(at[j])):
+                        out.append((int(node[at[i]]), int(node[at[j]])))
+                        label[label == label[j]] = label[i]
+                        open_ones = open_ones[label[open_ones] != label[i]]
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -181,52 +233,34 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     table = counts.toArrow()
     cell, n = np.asarray(table.column("cell")), np.asarray(table.column("n"))
     total = int(n[cell < 0].sum())
-    held = np.ones(1 << CELL_BITS, dtype=np.float64)
+    held = np.zeros(1 << CELL_BITS, dtype=np.float64)
     held[cell[cell >= 0]] = n[cell >= 0]
-    shared = spark.sparkContext.broadcast(np.log1p(max(1, total) / held))
+    shared = spark.sparkContext.broadcast(_idf(held, max(1, total)))
 
     signed = tables.write(hashed.mapInArrow(
         _signatures(shingle, bands, rows, shared), "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>"), "signed")
-    nodes = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
-    banded = nodes.select(F.col("h1").alias("node"), F.posexplode("bands").alias("band", "value")).select(
-        "node", F.xxhash64("band", "value").alias("v"))
+    nodes = tables.write(signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.first("bands").alias("bands")).select(
+        F.col("h1").alias("node"), "bands"), "nodes")
     # written by themselves: a join of two plain scans is split where a value is in very many texts
-    banded = tables.write(banded, "banded")
-    crowded = tables.write(banded.groupBy("v").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("v"), "crowded")
-    group = tables.write(banded.join(crowded, "v"), "group0")
+    banded = tables.write(nodes.select("node", F.posexplode("bands").alias("band", "value")).select(
+        "node", "band", F.xxhash64("band", "value").alias("v")), "banded")
+    crowded = tables.write(banded.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
+    group = tables.write(banded.join(crowded, "v"), "group")
     tables.drop("banded", "crowded")
     wanted = group.select(F.col("node").alias("h1")).distinct()
     texts = tables.write(hashed.select("h1", "text").join(wanted, "h1").groupBy("h1").agg(F.first("text").alias("text")), "texts")
 
-    links = None
-    found = None
-    for step in count(0):
-        lead = 1 if step == 0 else 8 * 4 ** (step - 1)
-        if lead == 1:
-            leaders = group.groupBy("v").agg(F.min("node").alias("a"))
-        else:
-            leaders = group.select("v", F.col("node").alias("a"), F.row_number().over(
-                Window.partitionBy("v").orderBy("node")).alias("n")).where(F.col("n") <= lead).drop("n")
-        pairs = group.select("v", F.col("node").alias("b")).join(leaders, "v").where("a < b").select("a", "b").distinct()
-        if found is not None:
-            at = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-            bt = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = pairs.join(at, "a", "left").join(bt, "b", "left").where(
-                F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = tables.write(pairs, f"pairs{step}")
-        new = tables.write(_checked(tables, pairs, texts, shingle, similar, shared, step), f"links{step}")
-        links = new if links is None else links.union(new)
-        found = tables.write(components(tables, links, f"stars{step}_"), f"found{step}")
-        # what is left: groups whose nodes after the leaders are in different components
-        last = leaders.groupBy("v").agg(F.max("a").alias("last"))
-        rest = group.select("v", "node").join(last, "v").where("node > last").join(found, "node", "left").select(
-            "v", "node", F.coalesce("component", "node").alias("c"))
-        open_groups = rest.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
-        group = tables.write(rest.join(open_groups, "v").select("v", "node"), f"group{step + 1}")
-        tables.drop(f"group{step}", f"pairs{step}")
-        if not group.limit(1).count():
-            break
-    tables.drop("texts", f"group{step + 1}", *[f"links{n}" for n in range(step + 1)])
+    # the node with most company leads its groups: of copies of one text most likely the text itself
+    company = group.groupBy("node").agg(F.sum("size").alias("company"))
+    leaders = tables.write(group.join(company, "node").groupBy("v").agg(F.max(F.struct("company", "node")).alias("x")).select(
+        "v", F.col("x.node").alias("a")), "leaders")
+    pairs = tables.write(group.select("v", F.col("node").alias("b")).join(leaders, "v").where("a <> b").select("a", "b").distinct(), "pairs")
+    links = tables.write(_checked(pairs, texts, shingle, similar, shared), "led")
+    found = tables.write(components(tables, links, "stars0_"), "found0")
+    settled = _settled(tables, group, leaders, found, nodes, texts, shingle, similar, shared)
+    links = tables.write(settled.union(found.where("node <> component")), "links")
+    found = tables.write(components(tables, links, "stars1_"), "found1")
+    tables.drop("texts", "group", "leaders", "pairs", "led", "found0", "links", "nodes")
 
     known = found.withColumnRenamed("node", "h1")
     rows_of = signed.select("doc_id", "h1", "h2", (F.size("bands") > 0).alias("full"))
@@ -241,7 +275,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     return full.union(bare)
 
 
-def _checked(tables: Tables, pairs: DataFrame, texts: DataFrame, shingle: int, similar: float, shared, step: int) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float, shared) -> DataFrame:
     """Verified pairs.  A leader's pairs are cut into slices, so a leader of very many meets them in many tasks."""
     per_leader = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE_PAIRS).cast("int").alias("slices"))
     bundles = max(1, math.ceil(pairs.count() / SLICE_PAIRS))
@@ -254,6 +288,34 @@ def _checked(tables: Tables, pairs: DataFrame, texts: DataFrame, shingle: int, s
         lambda t: _verify(shingle, similar, shared)(t.select(["a", "b", "text"])), "a bigint, b bigint")
 
 
+def _settled(tables: Tables, group: DataFrame, leaders: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame,
+             shingle: int, similar: float, shared) -> DataFrame:
+    """Links in groups whose nodes besides the leader are in different components.
+
+    Nodes of the leader's component need no comparison with each other: they form blocks of their own that
+    meet only the blocks of other nodes.
+    """
+    ends = found.select("node", F.col("component").alias("c"))
+    lead = leaders.join(ends, F.col("a") == F.col("node"), "left").select("v", "a", F.coalesce("c", "a").alias("main"))
+    rest = tables.write(group.select("v", "band", "node").join(lead, "v").where("node <> a").join(ends, "node", "left").select(
+        "v", "band", "node", F.coalesce("c", "node").alias("c"), "main"), "rest")
+    outside = F.col("c") != F.col("main")
+    open_groups = tables.write(rest.groupBy("v").agg(
+        F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(outside.cast("int")).alias("apart")).where(
+        "x < y").select("v", "n", F.ceil(F.col("apart") / BLOCK).cast("int").alias("free"),
+                        F.ceil((F.col("n") - F.col("apart")) / BLOCK).cast("int").alias("joined")), "open")
+    whole = F.col("n") <= BLOCK
+    mine = F.when(whole, 0).when(outside, F.pmod(F.xxhash64("node"), F.col("free"))).otherwise(
+        F.col("free") + F.pmod(F.xxhash64("node"), F.col("joined"))).cast("int")
+    last = F.when(whole, 0).when(outside, F.col("free") + F.col("joined") - 1).otherwise(F.col("free") - 1).cast("int")
+    cells = rest.join(open_groups, "v").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    bundles = max(1, math.ceil(open_groups.agg(F.sum(F.least("n", F.lit(BLOCK)))).first()[0] or 0) // BLOCK + 1)
+    cells = cells.select("v", "band", "node", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                         F.when(whole, F.pmod(F.xxhash64("v"), F.lit(bundles))).otherwise(F.xxhash64("v", F.lit(1))).alias("task"))
+    full = cells.join(nodes, "node").join(texts.withColumnRenamed("h1", "node"), "node")
+    return full.groupBy("task", "lo", "hi").applyInArrow(lambda t: _settle(shingle, similar, shared)(t), "a bigint, b bigint")
+
+
 def drop_near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates and all its columns."""
     classes = near_texts(docs, text=text, key=key, **settings)

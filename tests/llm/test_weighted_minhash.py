@@ -29,8 +29,8 @@ def weighted(rows):
     held = np.zeros(1 << M.CELL_BITS)
     for _, value, _ in sets:
         held += np.bincount(M._cells(value), minlength=len(held))
-    idf = np.log1p(len(rows) / np.maximum(held, 1))
-    return [dict(zip(v.tolist(), (n * idf[M._cells(v)]).tolist())) for _, v, n in sets]
+    idf = 1 + np.log1p(len(rows) / np.maximum(held, 1)) / np.log1p(len(rows))
+    return [dict(zip(v.tolist(), ((1 + np.log(n)) * idf[M._cells(v)]).tolist())) for _, v, n in sets]
 
 
 def similarity(a, b):
@@ -109,8 +109,12 @@ def test_classes_equal_brute_force(spark):
     assert sorted(ids, key=lambda x: (x is None, x or 0)) == sorted({c for _, c in want}, key=lambda x: (x is None, x or 0))
 
 
-def test_group_of_unlike_texts_takes_several_rounds(spark):
-    """With one sample a band, texts that only share their rarest shingle meet and must all be told apart."""
+def test_crowded_groups_meet_in_blocks(spark, monkeypatch):
+    """With one sample a band, texts that only share some shingles meet and must all be told apart."""
+    from citesift.llm import weighted_minhash as M
+
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "SLICE_PAIRS", 5)
     rnd = random.Random(3)
     words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(3000)]
     shared = " ".join(words[:9])
