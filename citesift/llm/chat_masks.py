@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citesift.session import ship_package
+
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 MASKED_ROLE = "assistant"
 # how many characters are encoded at a time
@@ -119,6 +121,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     every assistant turn in order; an empty text has an empty range and span.  Columns not named are not
     read.  An empty table gives an empty result.
     """
+    ship_package(rows.sparkSession)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     item = F.struct(F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
     chats = rows.groupBy(F.col(f"`{conv}`").alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("turns"))

@@ -11,8 +11,7 @@ from citesift.sources.tables import table_path
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Plain parquet scan; the package is shipped to the Python workers once per application."""
-    ship_package(spark)
+    """Plain parquet scan."""
     return spark.read.parquet(table_path(sf_dir, name))
 
 
@@ -37,6 +36,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        ship_package(spark)
         base = ensure_checkpoint_dir(spark).rstrip("/")
         self.base = f"{base}/{job}-{uuid.uuid4().hex[:12]}"
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
+from citesift.session import ship_package
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -265,6 +266,7 @@ def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     mark (U+2581) comes back with spaces instead.  A null or empty text has no ids.  Rows with equal or null
     keys are encoded each for itself; columns not named are not read.  An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -289,6 +291,7 @@ def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
 
 def decode(rows: DataFrame, ids: str = "token_ids", keys: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """``keys`` and ``text``: the texts of columns of ids; null ids give the empty text."""
+    ship_package(rows.sparkSession)
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     rows = rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{ids}`").alias("__ids"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
+from citesift.session import ship_package
 
 BATCH_BYTES = 256 << 10
 REMEMBER = 400_000
@@ -84,6 +85,7 @@ def token_counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     empty table gives an empty result.  ``tokenizer`` is the path of a tokenizer file whose
     pre-tokenisation drops white space (default: ``word_bpe_49k.json``).
     """
+    ship_package(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from citesift.llm import words as W
 from citesift.llm.shared import Tables
+from citesift.session import ship_package
 
 FIT_ROWS = 20_000
 TERMS = 200
@@ -394,6 +395,7 @@ def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", score: st
     Every whole text is read.  Null and empty texts get the score of a text without hits; equal texts get
     equal scores.  An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     names = [c for c in docs.columns if c != score]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{score}` double"
