@@ -136,8 +136,8 @@ def content_digest(spark, sf_dir):
 SELECT count(DISTINCT policy_id) AS n_policies, count(*) AS n_clauses FROM dc""")
 def corpus_counts(spark, sf_dir):
     """AGG-12: documents (policies) and clauses in the corpus."""
-    return _doc_policies(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_policies"),
-                                            F.sum(F.size("clauses")).cast("bigint").alias("n_clauses"))
+    dc = cp.document_clauses(read_table(spark, sf_dir, "documents"))
+    return dc.agg(F.count_distinct("policy_id").alias("n_policies"), F.count(F.lit(1)).alias("n_clauses"))
 
 
 @query("distractors", sql=f"""WITH {SQL_DC},

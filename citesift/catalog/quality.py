@@ -13,7 +13,7 @@ from citesift.catalog.loop import WITH_LOOP, scored_modes
 from citesift.operators import evaluation as ev
 from citesift.operators import quality as qa
 from citesift.operators.skew import hot_key_share, skewed_assignment
-from citesift.session import work_dir
+from citesift.session import cut_lineage, work_dir
 from citesift.sources.nested import read_text_documents
 from citesift.sources.tables import read_table, register_parquet_view, table_path
 
@@ -57,32 +57,35 @@ cp AS (SELECT *, CASE WHEN higher_is_better THEN measured >= threshold ELSE meas
 
 
 def quality_checks_df(spark, sf_dir):
-    """Six checks over the driver tables, one aggregate each (JOB-6 inputs)."""
+    """Six checks over the driver tables (JOB-6 inputs): one aggregate per table, written once, since score,
+    failures and report all read them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     labels = read_table(spark, sf_dir, "labels")
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey")
     labelled = labels.select("doc_id").distinct().withColumn("_l", F.lit(1))
-    c1 = docs.join(labelled, "doc_id", "left").agg(*qa.check_row(
+    of_docs = docs.join(labelled, "doc_id", "left").agg(qa.check_row(
         1, "completeness", "labels_cover_documents", F.count("_l") / F.count(F.lit(1)), 0.3,
-        detail="labelled documents / documents"))
-    c2 = labels.agg(*qa.check_row(2, "correctness", "quality_pass_rate", F.avg("quality"), 0.5,
-                                  detail="share of labelled documents with quality = 1"))
-    c3 = labels.agg(*qa.check_row(3, "validity", "toxic_rate", F.avg("toxic"), 0.1, False,
-                                  detail="share of labelled documents flagged toxic"))
-    c4 = labels.agg(*qa.check_row(4, "consistency", "duplicate_label_rows",
-                                  F.count(F.lit(1)) - F.count_distinct("doc_id"), 0.0, False,
-                                  detail="label rows beyond one per document"))
+        detail="labelled documents / documents").alias("c1"))
+    of_labels = labels.agg(
+        qa.check_row(2, "correctness", "quality_pass_rate", F.avg("quality"), 0.5,
+                     detail="share of labelled documents with quality = 1").alias("c1"),
+        qa.check_row(3, "validity", "toxic_rate", F.avg("toxic"), 0.1, False,
+                     detail="share of labelled documents flagged toxic").alias("c2"),
+        qa.check_row(4, "consistency", "duplicate_label_rows", F.count(F.lit(1)) - F.count_distinct("doc_id"), 0.0, False,
+                     detail="label rows beyond one per document").alias("c3"))
     late = F.when(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")) > LATE_DAYS, 1.0).otherwise(0.0)
-    c5 = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).agg(*qa.check_row(
-        5, "timeliness", "late_shipment_share", F.avg(late), 0.5, False,
-        detail=f"line items shipped more than {LATE_DAYS} days after the order"))
     known = part.distinct().withColumn("_p", F.lit(1))
-    c6 = li.join(known, F.col("l_partkey") == F.col("p_partkey"), "left").agg(*qa.check_row(
-        6, "validity", "dangling_part_refs", F.avg(F.when(F.col("_p").isNull(), 1.0).otherwise(0.0)), 0.0, False,
-        detail="line items whose part is not in the part table"))
-    return reduce(lambda a, b: a.unionByName(b), [c1, c2, c3, c4, c5, c6])
+    lines = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(
+        known, F.col("l_partkey") == F.col("p_partkey"), "left")
+    of_lines = lines.agg(
+        qa.check_row(5, "timeliness", "late_shipment_share", F.avg(F.when(F.col("o_orderkey").isNotNull(), late)), 0.5, False,
+                     detail=f"line items shipped more than {LATE_DAYS} days after the order").alias("c1"),
+        qa.check_row(6, "validity", "dangling_part_refs", F.avg(F.when(F.col("_p").isNull(), 1.0).otherwise(0.0)), 0.0, False,
+                     detail="line items whose part is not in the part table").alias("c2"))
+    stacked = [df.select(F.inline(F.array(*[F.col(c) for c in df.columns]))) for df in (of_docs, of_labels, of_lines)]
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), stacked))
 
 
 @query("quality_checks", sql=f"""WITH {SQL_CHECKS}
@@ -109,7 +112,7 @@ SELECT check_no, dimension, name,
        || ' — ' || detail AS message
 FROM cp WHERE NOT passed""")
 def quality_failures(spark, sf_dir):
-    """FLT-4: failed checks and their message lines (the caller raises when any row exists)."""
+    """FLT-4: failed checks and their message lines (``operators.quality.assert_all_passed`` raises with them)."""
     return qa.failures(quality_checks_df(spark, sf_dir))
 
 

@@ -15,12 +15,6 @@ RRF_K = 60  # fixed value: the rank-fusion constant
 SCORE_DIGITS = 12  # sums of reciprocals can differ in the last bit by addition order
 
 
-def union_lists(lists: list[DataFrame], list_col: str = "list_no") -> DataFrame:
-    """SET-1: stack per-iteration ranked tables, tagging each with its list number (1-based)."""
-    tagged = [df.withColumn(list_col, F.lit(i)) for i, df in enumerate(lists, start=1)]
-    return reduce(lambda a, b: a.unionByName(b), tagged)
-
-
 def rrf(ranked: DataFrame, group: list[str], *, id_col: str = "id", list_col: str = "list_no",
         rank_col: str = "rank", k: int = RRF_K, payload: list[str] = ()) -> DataFrame:
     """AGG-1: reciprocal rank fusion, one row per (group, id).

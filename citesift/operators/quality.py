@@ -17,13 +17,13 @@ CHECK_SCHEMA = ("check_no int, dimension string, name string, measured double, t
 
 
 def check_row(check_no: int, dimension: str, name: str, measured: Column, threshold: float,
-              higher_is_better: bool = True, detail: str = "") -> list[Column]:
-    """Columns of one check computed by an aggregate (``measured`` is an aggregate expression)."""
+              higher_is_better: bool = True, detail: str = "") -> Column:
+    """One check as a struct (``measured`` is an aggregate expression); several fit into one aggregate."""
     if dimension not in DIMENSIONS:
         raise ValueError(f"unknown dimension {dimension}")
-    return [F.lit(check_no).alias("check_no"), F.lit(dimension).alias("dimension"), F.lit(name).alias("name"),
+    return F.struct(F.lit(check_no).alias("check_no"), F.lit(dimension).alias("dimension"), F.lit(name).alias("name"),
             F.round(measured.cast("double"), 4).alias("measured"), F.lit(float(threshold)).alias("threshold"),
-            F.lit(higher_is_better).alias("higher_is_better"), F.lit(detail).alias("detail")]
+            F.lit(higher_is_better).alias("higher_is_better"), F.lit(detail).alias("detail"))
 
 
 def with_passed(checks: DataFrame) -> DataFrame:
@@ -51,6 +51,27 @@ def failures(checks: DataFrame) -> DataFrame:
     return c.select("check_no", "dimension", "name", msg.alias("message"))
 
 
+def assert_all_passed(checks: DataFrame) -> None:
+    """Raise with one line per failed check (a check is one row, so the lines are few)."""
+    lines = [r["message"] for r in failures(checks).orderBy("check_no").collect()]
+    if lines:
+        raise AssertionError("quality checks failed:\n" + "\n".join(lines))
+
+
+def json_report(checks: DataFrame, pipeline: str, generated_at: str) -> DataFrame:
+    """The report as one JSON line: scores per dimension, overall score and every check."""
+    c = with_passed(checks)
+    per_dim = score(checks)
+    rows = c.agg(F.sort_array(F.collect_list(F.struct(
+        "check_no", "dimension", "name", "measured", "threshold", "higher_is_better", "passed", "detail"))).alias("checks"))
+    scores = per_dim.agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("dimension") != "overall", F.struct("dimension", "score"))))).alias("scores"),
+        F.max(F.when(F.col("dimension") == "overall", F.col("score"))).alias("overall_score"))
+    both = rows.withColumn("k", F.lit(1)).join(scores.withColumn("k", F.lit(1)), "k")
+    return both.select(F.to_json(F.struct(
+        F.lit(pipeline).alias("pipeline"), F.lit(generated_at).alias("generated_at"), "overall_score", "scores", "checks")).alias("value"))
+
+
 def _pct(x: Column) -> Column:
     return F.format_string("%.0f%%", x * 100)
 

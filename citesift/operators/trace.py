@@ -45,11 +45,3 @@ def early_stop(trace: DataFrame, keys: list[str], *, iteration_col="iteration",
             .where(F.col("_sb") == 0)
             .drop("_sb")
             .withColumnRenamed("_stop", "stop"))
-
-
-def stop_iteration(trace: DataFrame, keys: list[str], *, iteration_col="iteration",
-                   max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """Per claim: the last iteration the loop runs (first stop, else the cap)."""
-    kept = early_stop(improvement(trace, keys, iteration_col=iteration_col), keys,
-                      iteration_col=iteration_col, max_iterations=max_iterations)
-    return kept.groupBy(*keys).agg(F.max(iteration_col).alias("stop_iter"))

@@ -22,8 +22,3 @@ def register_parquet_view(spark: SparkSession, path_glob: str, view_name: str) -
     df = spark.read.parquet(path_glob)
     df.createOrReplaceTempView(view_name)
     return df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        register_parquet_view(spark, table_path(sf_dir, n), n)

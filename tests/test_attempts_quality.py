@@ -49,3 +49,20 @@ def test_empty_report_scores_zero(spark):
     assert sc == {"overall": 0.0}
     lines = quality.markdown_lines(_checks(spark, []), "p", "t").orderBy("section", "k").collect()
     assert any(r["line"] == "**Overall score: 0%** (0/0 checks passed)" for r in lines)
+
+
+def test_failed_checks_raise_and_reach_the_json_report(spark):
+    import json
+
+    import pytest
+
+    one = spark.range(4).agg(
+        quality.check_row(1, "validity", "small", F.max("id"), 3.0, False, "at most three").alias("a"),
+        quality.check_row(2, "completeness", "many", F.count(F.lit(1)), 5.0, True, "at least five").alias("b"))
+    checks = one.select(F.inline(F.array("a", "b")))
+    with pytest.raises(AssertionError, match=r"\[completeness\] many: measured=4.0 < threshold=5.0"):
+        quality.assert_all_passed(checks)
+    quality.assert_all_passed(checks.where("check_no = 1"))
+    report = json.loads(quality.json_report(checks, "p", "now").first()["value"])
+    assert report["overall_score"] == 0.5 and report["scores"] == {"completeness": 0.0, "validity": 1.0}
+    assert [c["passed"] for c in report["checks"]] == [True, False]

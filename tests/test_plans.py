@@ -64,3 +64,24 @@ def test_vector_upsert_runs_the_diff_once(spark):
     p = _plan(E.queries()["vector_upsert"](spark, SF_MID))
     assert "conv(substring(_h" not in p
     assert p.count("lineitem.parquet") == 1
+
+
+def _read_schemas(df):
+    import re
+    return sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", _plan(df))))
+
+
+def test_registered_queries_read_only_the_columns_they_need(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    # the second delivery of failed calls is the query's fixture: it needs their type
+    assert _read_schemas(q["budget_counter"](spark, SF_MID)) == [
+        "struct<event_id:bigint,user_id:bigint,event_type:string>", "struct<event_id:bigint,user_id:bigint>"]
+    assert _read_schemas(q["corpus_counts"](spark, SF_MID)) == ["struct<doc_id:bigint>"]
+
+
+def test_quality_queries_read_the_written_checks(spark):
+    # all checks of a table are one aggregate, written once: score and report scan no table again
+    import __spark_entry__ as E
+    for name in ("quality_score", "quality_markdown"):
+        assert "parquet" not in _plan(E.queries()[name](spark, SF_MID)).lower()
