@@ -41,6 +41,7 @@ def _load_all() -> None:
         prompts,
         quality,
         streams,
+        texts,
     )
 
 

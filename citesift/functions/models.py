@@ -47,6 +47,10 @@ class Provider:
     def column(self, prompt: Column) -> Column | None:
         return None
 
+    def column_failure(self, prompt: Column) -> Column:
+        """The failure type of a prompt that the column form does not answer, else null."""
+        return F.lit(None).cast("string")
+
 
 class DeterministicProvider(Provider):
     """PRJ-5: a JSON answer carrying the first 8 hex digits of SHA-256(prompt), as a JVM expression."""
@@ -97,9 +101,11 @@ def complete(df: DataFrame, prompt_col: str, *, provider: str = "deterministic",
     probe = get_provider(provider).column(F.col(prompt_col)) if prefer_column else None  # unknown name fails here
     factory = PROVIDERS[provider]  # resolved on the driver and shipped with the task (registries are per process)
     if probe is not None:
-        return (df.withColumn(out_col, F.when(F.col(prompt_col).isNotNull(), probe))
-                .withColumn("attempts", F.when(F.col(prompt_col).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-                .withColumn("failure_type", F.lit(None).cast("string")))
+        sent = F.col(prompt_col).isNotNull()
+        failure = get_provider(provider).column_failure(F.col(prompt_col))
+        return (df.withColumn("failure_type", F.when(sent, failure))
+                .withColumn(out_col, F.when(sent & F.col("failure_type").isNull(), probe))
+                .withColumn("attempts", F.when(sent, F.lit(1)).otherwise(F.lit(0))))
     ship_package(df.sparkSession)  # the task below refers to the package's classes
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("attempts", T.IntegerType()),
