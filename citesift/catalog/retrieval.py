@@ -207,3 +207,17 @@ def knn_lsh_recall(spark, sf_dir):
     approx = knn_lsh(q, c, K_LOOP, query_keys=["claim_id", "iteration"], corpus_key="id", dim=64)
     exact = loop_hits(spark, sf_dir)
     return recall_at_k(approx, exact, ["claim_id", "iteration"])
+
+
+@query("vector_store", sql=SQL_SCOPED)
+def vector_store(spark, sf_dir):
+    """UDF-4: the store object: two upserts that overlap, then a scoped query over what is stored."""
+    from citesift.session import work_dir
+    from citesift.sinks.store import get_store
+    emb = read_table(spark, sf_dir, "embeddings")
+    store = get_store("table", spark, work_dir(spark, "store"))
+    corpus = cl.corpus_vectors(emb)
+    store.upsert(corpus.where(F.col("id") % 3 < 2))
+    store.upsert(corpus.where(F.col("id") % 3 > 0))
+    hits = store.query(cl.query_vectors(emb), K_LOOP, query_keys=["claim_id", "iteration"], scope="label", round_digits=9)
+    return hits.select("claim_id", "iteration", "label", "id", "distance", "rank")

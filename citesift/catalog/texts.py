@@ -15,6 +15,7 @@ from citesift.functions import text as tx
 from citesift.operators.attempts import FAILURE_PERMANENT
 from citesift.operators.knn import knn_join
 from citesift.plans import text_loop as tl
+from citesift.session import work_dir
 from citesift.sources.tables import read_table
 
 REFUSED = ("0", "1")
@@ -187,3 +188,14 @@ def text_single_shot(spark, sf_dir):
     """JOB-4 over texts: the question as written, three citations, one answer."""
     out = tl.text_single_shot(_claims(spark, sf_dir), _clauses(spark, sf_dir), _search(3), provider="deterministic-refusing")
     return out.withColumn("citations", F.array_join(F.transform("citations", lambda x: x.cast("string")), ","))
+
+
+@query("text_dead_letters", sql=f"""{SQL_TEXT_LOOP}
+SELECT claim_id, status AS reason, CASE WHEN status = 'failed' THEN 'permanent' END AS failure_type
+FROM outcome WHERE status <> 'answered'""")
+def text_dead_letters(spark, sf_dir):
+    """SNK-6: claims of the text loop that got no answer, appended to a stored table and read back."""
+    out = tl.text_loop(_claims(spark, sf_dir), _clauses(spark, sf_dir), _search(5), provider="deterministic-refusing")
+    path = work_dir(spark, "dead-letters")
+    tl.dead_letters(out).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

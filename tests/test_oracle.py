@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from citesift.catalog import ORACLES as CATALOG_SQL
+from citesift.catalog import QUERIES as CATALOG
 from citesift.sources.tables import TABLES, table_path
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = CATALOG
+ORACLES = CATALOG_SQL
 
 
 def _norm(v):
@@ -38,6 +40,10 @@ def duck():
     return con
 
 
+def test_the_entry_point_registers_the_catalogue():
+    assert set(CATALOG) <= set(E.queries()) and set(CATALOG_SQL) <= set(E.oracle_sql())
+
+
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"skewed_keys", "knn_lsh_recall"}
