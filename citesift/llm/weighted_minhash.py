@@ -248,7 +248,8 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     group = tables.write(banded.join(crowded, "v"), "group")
     tables.drop("banded", "crowded")
     wanted = group.select(F.col("node").alias("h1")).distinct()
-    texts = tables.write(hashed.select("h1", "text").join(wanted, "h1").groupBy("h1").agg(F.first("text").alias("text")), "texts")
+    # texts always move by a merge join: the plan, and what it shuffles, is the same at every size
+    texts = tables.write(hashed.select("h1", "text").join(wanted.hint("merge"), "h1").groupBy("h1").agg(F.first("text").alias("text")), "texts")
 
     # the node with most company leads its groups: of copies of one text most likely the text itself
     company = group.groupBy("node").agg(F.sum("size").alias("company"))
@@ -281,8 +282,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float, s
     bundles = max(1, math.ceil(pairs.count() / SLICE_PAIRS))
     slot = F.pmod(F.xxhash64("a", "slice"), F.lit(bundles)).alias("slot")
     sides = pairs.join(per_leader, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
-    members = sides.join(texts.withColumnRenamed("h1", "b"), "b").select(slot, "a", "b", "text")
-    heads = per_leader.join(texts.withColumnRenamed("h1", "a"), "a").withColumn(
+    members = sides.hint("merge").join(texts.withColumnRenamed("h1", "b"), "b").select(slot, "a", "b", "text")
+    heads = per_leader.hint("merge").join(texts.withColumnRenamed("h1", "a"), "a").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(slot, "a", F.lit(None).cast("bigint").alias("b"), "text")
     return members.union(heads).groupBy("slot").applyInArrow(
         lambda t: _verify(shingle, similar, shared)(t.select(["a", "b", "text"])), "a bigint, b bigint")
@@ -312,7 +313,7 @@ def _settled(tables: Tables, group: DataFrame, leaders: DataFrame, found: DataFr
     bundles = max(1, math.ceil(open_groups.agg(F.sum(F.least("n", F.lit(BLOCK)))).first()[0] or 0) // BLOCK + 1)
     cells = cells.select("v", "band", "node", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                          F.when(whole, F.pmod(F.xxhash64("v"), F.lit(bundles))).otherwise(F.xxhash64("v", F.lit(1))).alias("task"))
-    full = cells.join(nodes, "node").join(texts.withColumnRenamed("h1", "node"), "node")
+    full = cells.hint("merge").join(nodes, "node").join(texts.withColumnRenamed("h1", "node").hint("merge"), "node")
     return full.groupBy("task", "lo", "hi").applyInArrow(lambda t: _settle(shingle, similar, shared)(t), "a bigint, b bigint")
 
 
