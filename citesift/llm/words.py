@@ -31,7 +31,7 @@ def _powers(which: int, n: int, inverse: bool) -> np.ndarray:
         base = _BASES[which]
         if inverse:
             base = pow(base, -1, 1 << 64)
-        size = max(n, 2 * BLOCK_BYTES)
+        size = -(-max(n, 1) // 65536) * 65536
         have = np.full(size, base, dtype=_U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
