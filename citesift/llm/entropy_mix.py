@@ -107,7 +107,10 @@ def mix_decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", sour
     counts = tables.write(sizes.groupBy(*keys, "size").agg(F.sum("rows").alias("n")), "counts")
     duals = _solve(tables, counts, targets, most)
 
-    rated = sizes.join(targets.join(duals, keys), keys).select(
+    # a written table has a known size: Spark sends it to all tasks while it is small, and splits the join
+    # where one source has very many documents otherwise
+    rates = tables.write(targets.join(duals, keys), "rates")
+    rated = sizes.join(rates, keys).select(
         "doc_id", "size", "rows", *keys, "source_size", "target", _rate(most).alias("rate"),
         F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BLOCK)).alias("block"))
     item = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id").alias("h"), "doc_id", "size", "rows", "rate")
