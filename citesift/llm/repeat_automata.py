@@ -196,11 +196,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key:
     hashed = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
     noted = tables.write(hashed.mapInArrow(
         _facts(length), "doc_id bigint, h1 bigint, h2 bigint, n_words bigint, digest binary, anchors array<bigint>"), "noted")
-    firsts = noted.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written by itself: a join of two plain scans is split where one text has very many copies
+    firsts = tables.write(noted.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1").drop("n"), "firsts")
     later = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= length)
     facts = tables.write(noted.join(firsts, ["h1", "h2"], "left").select(
         "doc_id", "h1", "n_words", "digest", F.coalesce(later, F.lit(False)).alias("copy"), "anchors"), "facts")
-    tables.drop("noted")
+    tables.drop("noted", "firsts")
 
     anchors = facts.where(~F.col("copy") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("a"))
     shared = anchors.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
