@@ -215,9 +215,10 @@ def _settle(width: int, similar: float, shared):
 
 def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id",
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, h1, class_id, kept`` for every row; ``h1`` is a hash of the text.
+    """``doc_id, h1, class_id, kept, component`` for every row; ``h1`` is a hash of the text.
 
-    Texts belong to one class when links of weighted Jaccard similarity ``similar`` or more connect them; equal
+    ``component`` is one value per class (the smallest ``h1`` of its texts), also where keys are null or shared by
+    several classes and ``class_id`` cannot tell them apart.  Texts belong to one class when links of weighted Jaccard similarity ``similar`` or more connect them; equal
     texts always do.  ``class_id`` is the smallest key of the class and ``kept`` marks its rows.  A text without
     words (null, empty, white space) is in a class of its own and kept.  Null keys count for nothing; a class
     that has only null keys has a null ``class_id`` and its rows are kept.  Rows that repeat a kept key and
@@ -269,10 +270,12 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     per_text = rows_of.where("full").groupBy("h1").agg(F.min("doc_id").alias("least"))
     per_text = per_text.join(known, "h1", "left").select("h1", F.coalesce("component", "h1").alias("component"), "least")
     classes = per_text.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = per_text.join(classes, "component").select("h1", "class_id")
+    named = per_text.join(classes, "component").select("h1", "class_id", "component")
     full = rows_of.where("full").join(named, "h1").select(
-        "doc_id", "h1", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
-    bare = rows_of.where("not full").select("doc_id", "h1", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+        "doc_id", "h1", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "component")
+    # a text without words meets no other: its rows have no component
+    bare = rows_of.where("not full").select(
+        "doc_id", "h1", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("bigint").alias("component"))
     return full.union(bare)
 
 
@@ -318,13 +321,20 @@ def _settled(tables: Tables, group: DataFrame, leaders: DataFrame, found: DataFr
 
 
 def drop_near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates and all its columns."""
+    """``docs`` with one row of each class of near-duplicates and all its columns.
+
+    The row with the smallest key stays, null keys last, and of those the one with the smallest text hash.  All
+    rows without words stay.
+    """
     classes = near_texts(docs, text=text, key=key, **settings)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = body.rlike(r"[^\x20\x09-\x0D]")
-    # of a class without keys the smallest text stays
+    # by component: neither a null key nor one that unrelated texts share names a class
     least, own = fresh(docs, "least", "own")
-    stay = classes.where("kept").groupBy(F.col("class_id").alias(least)).agg(F.min("h1").alias(own))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1")).alias("first")
+    stay = classes.where(F.col("component").isNotNull()).groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias(least), F.col("first.h1").alias(own))
     same = F.col(f"`{key}`").eqNullSafe(F.col(least)) & (F.xxhash64(body) == F.col(own))
+    # a text is in one component, so rows that share its hash are copies of the row that stays
     kept = docs.where(words).join(stay, same).dropDuplicates([own]).drop(least, own)
     return kept.unionByName(docs.where(~words))

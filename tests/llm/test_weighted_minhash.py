@@ -124,6 +124,25 @@ def test_crowded_groups_meet_in_blocks(spark, monkeypatch):
     assert got == {r[0]: c for r, c in zip(rows, brute(rows))}
 
 
+def test_one_row_stays_of_every_class_with_null_or_shared_keys(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(2000)]
+    texts = [" ".join(rnd.sample(words, 60)) for _ in range(9)]
+    rows = [(None, t, "null") for t in texts[:5]] + [(None, texts[0], "copy"), (None, texts[1] + " tail", "near"), (None, "", "bare")]
+    rows += [(7, texts[5], "one"), (7, texts[6], "other"), (8, texts[6] + " tail", "near"), (None, texts[7], "null"), (9, texts[7], "key")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = drop_near_texts(df).collect()
+    sets, classes = weighted(rows), []
+    for i in range(len(rows)):
+        mates = [c for c in classes if any(similarity(sets[i], sets[j]) >= 0.8 for j in c)]
+        classes = [c for c in classes if c not in mates] + [sum(mates, []) + [i]]
+    home = {(rows[i][0], rows[i][1]): n for n, c in enumerate(classes) for i in c}
+    assert sorted(home[r.doc_id, r.text] for r in kept) == list(range(len(classes))) and len(kept) == 9
+    assert {r.doc_id for r in kept if r.text in texts[5:8]} == {7, 9} and sum(r.text == "" for r in kept) == 1
+    ids = {r.doc_id: r.class_id for r in near_texts(df).collect() if r.doc_id is not None}
+    assert ids == {7: 7, 8: 7, 9: 9}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_texts(empty).count() == 0 and drop_near_texts(empty).count() == 0
