@@ -13,6 +13,8 @@ block takes ends within a few words of its share.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,22 @@ def _rate(most: int):
 
 
 def _solve(tables: Tables, counts: DataFrame, targets: DataFrame, most: int) -> DataFrame:
-    """Newton steps on the dual: ``unnamed, source, lam, scale`` with each source's words at its target."""
+    """Newton steps on the dual: ``unnamed, source, lam, scale`` with each source's words at its target.
+
+    A source that does not reach its target within ``STEPS`` steps is an error.
+    """
     keys = ["unnamed", "source"]
     scale = counts.groupBy(*keys).agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
+        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"),
+        F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(1)).alias("least"))
     # multipliers are in units of 1 / scale, the size-weighted mean length
+    # however long others are, the bracket takes the shortest documents from a rate of next to 0 to the most
+    reach = F.greatest("scale", F.lit(1.0)) / F.col("least")
     state = targets.join(scale, keys).select(
-        *keys, "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), 
+        *keys, "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"),
         # a source that gives all it may has no finite multiplier: every document with words is at the most
-        F.when(F.col("target") >= F.col("source_size") * float(most), FULL).otherwise(0.0).alias("lam"), F.lit(-REACH).alias("lo"), F.lit(REACH).alias("hi"), F.lit(1.0).alias("gap"))
+        F.when(F.col("target") >= F.col("source_size") * float(most), FULL).otherwise(0.0).alias("lam"),
+        (reach * -REACH).alias("lo"), (reach * (math.log(most) + 1)).alias("hi"), F.lit(1.0).alias("gap"))
     state = tables.write(state, "dual0")
     rate = _rate(most)
     words = F.col("n") * F.col("size")
@@ -87,6 +96,9 @@ def _solve(tables: Tables, counts: DataFrame, targets: DataFrame, most: int) ->
         tables.drop(f"dual{step - 1}")
         if not state.where(F.col("gap") > CLOSE).limit(1).count():
             break
+    else:
+        worst = state.agg(F.max(F.struct("gap", "source"))).first()[0]
+        raise RuntimeError(f"source {worst.source!r} is {worst.gap:.2g} of its words off its target after {STEPS} steps")
     return state.select(*keys, "lam", "scale")
 
 

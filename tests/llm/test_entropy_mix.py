@@ -71,6 +71,40 @@ def test_applied_mix_repeats_whole_rows(spark):
     assert Counter(r.doc_id for r in out.collect()) == +want
 
 
+def solved(spark, sources):
+    """Words that each source's rates take, by counts: ``sources`` has {size: documents} and the target as a share."""
+    import math
+
+    from citesift.llm import entropy_mix as E
+    from citesift.llm.shared import Tables
+
+    full = {s: sum(k * n for k, n in c.items()) for s, (c, _) in sources.items()}
+    counts = spark.createDataFrame([(False, s, k, n) for s, (c, _) in sources.items() for k, n in c.items()],
+                                   "unnamed boolean, source string, size bigint, n bigint")
+    goals = spark.createDataFrame([(False, s, full[s], share * full[s]) for s, (_, share) in sources.items()],
+                                  "unnamed boolean, source string, source_size bigint, target double")
+    duals = E._solve(Tables(spark, "entropy_mix_test"), counts, goals, 2).collect()
+    return {r.source: sum(k * n * min(2.0, math.exp(min(700.0, r.lam * k / r.scale))) for k, n in sources[r.source][0].items())
+            / full[r.source] for r in duals}
+
+
+def test_short_documents_beside_one_of_millions_of_words(spark):
+    sources = {"hot": ({300: 300_000, 8_000_000: 1}, 0.375), "up": ({300: 30_000, 5_000_000: 1}, 1.9),
+               "tiny": ({0: 5, 1: 1, 5000: 1000, 10_000_000: 1}, 0.001), "even": ({200: 1000, 300: 1000}, 0.6)}
+    got = solved(spark, sources)
+    assert all(abs(got[s] - share) < 1e-6 for s, (_, share) in sources.items()), got
+
+
+def test_a_missed_target_is_an_error(spark, monkeypatch):
+    import pytest
+
+    from citesift.llm import entropy_mix as E
+
+    monkeypatch.setattr(E, "STEPS", 2)
+    with pytest.raises(RuntimeError, match="'slow'"):
+        solved(spark, {"slow": ({300: 1000, 8_000_000: 1}, 0.01), "done": ({5: 10}, 1.0)})
+
+
 def test_empty_table_and_empty_texts(spark):
     assert entropy_mix(spark.createDataFrame([], SCHEMA)).count() == 0
     got = entropy_mix(spark.createDataFrame([(1, "", "a", ""), (2, None, None, "")], SCHEMA)).collect()
