@@ -4,9 +4,13 @@ Equal vectors of a label are one item.  In each pass every item gets the concate
 projections, the items of a label are ordered by them, and each is compared with a bounded number of
 neighbours in that order.  Verified links of all passes are united into components.
 
-Neighbour windows find what belongs together but not every pair of a crowded place.  Links are therefore
-counted afterwards inside each component: its items are cut into chunks of bounded size and every two chunks
-meet once, so no pair of a component stays uncounted and no pair is written out.
+Neighbour windows find most of what belongs together but not every pair of a crowded place.  What they leave
+open is settled exactly: linked unit vectors differ by at most ``sqrt(2 - 2 cosine)`` along any unit direction, so
+a label's items are cut into blocks along one, and every two blocks that are near enough meet once.  There, items
+of different components are compared, and only links between components are written out.
+
+Links are counted afterwards inside each component: its items are cut into chunks of bounded size and every two
+chunks meet once, so no pair of a component stays uncounted and no pair is written out.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.llm.components import components
@@ -28,6 +32,12 @@ PASSES = 8
 BITS = 48
 NEIGHBOURS = 48
 CHUNK = 2048
+# items of a label that meet as many others in one task when links across components are looked for
+BLOCK = 8192
+# a block's items are compared so many at a time
+SLICE = 1024
+# bins along the direction that two linked items lie apart at most
+BINS = 4
 PART_ROWS = 16_384
 
 
@@ -52,8 +62,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(passes: int, bits: int, seed: int, kind: str):
-    """Sign patterns as sortable integers, one per pass; planes follow from seed, pass and dimension."""
+def _bin_width(cosine: float) -> float:
+    """``BINS`` bins are a little wider than linked unit vectors can be apart; a bin is never too narrow to count."""
+    return max(math.sqrt(max(0.0, 2.0 - 2.0 * cosine)) / BINS * (1 + 1e-6) + 1e-9, 1 / 256)
+
+
+def _codes(passes: int, bits: int, seed: int, kind: str, wide: float):
+    """Sign patterns as sortable integers, one per pass, and the bin along a further direction.
+
+    Planes and the direction follow from seed, pass and dimension.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, list[np.ndarray]] = {}
@@ -61,15 +79,19 @@ def _codes(passes: int, bits: int, seed: int, kind: str):
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             codes = np.zeros((passes, batch.num_rows), dtype=np.int64)
+            bins = np.zeros(batch.num_rows, dtype=np.int32)
             for d in np.unique(dims).tolist():
                 if d not in planes:
                     planes[d] = [np.random.default_rng((seed, p, d)).standard_normal((d, bits)) for p in range(passes)]
+                    planes[d].append(_unit(np.random.default_rng((seed, passes, d)).standard_normal((1, d)))[0])
                 at = np.flatnonzero(dims == d)
                 x = _unit(unpack(batch.column("v").take(pa.array(at)), kind))
                 for p in range(passes):
                     codes[p, at] = ((x @ planes[d][p]) > 0).astype(np.int64) @ weight
+                bins[at] = np.floor((x @ planes[d][passes]) / wide)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(c) for c in codes]], names=[*batch.schema.names, *[f"code{p}" for p in range(passes)]])
+                [*batch.columns, *[pa.array(c) for c in codes], pa.array(bins)],
+                names=[*batch.schema.names, *[f"code{p}" for p in range(passes)], "bin"])
 
     return run
 
@@ -156,6 +178,85 @@ def _across(width: int, cosine: float, kind: str):
     return run
 
 
+def _missed(cosine: float, kind: str):
+    """Links between different components of the items at hand; components that a link joins are one from then on."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        component, dims, label = (np.asarray(rows.column(c)) for c in ("component", "dim", "label"))
+        piece, lo, hi = (np.asarray(rows.column(c)) for c in ("piece", "lo", "hi"))
+        order = np.lexsort((dims, label))
+        cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
+        packed = rows.column("v")
+        out: list[tuple[int, int]] = []
+        for at in np.split(order, cuts):
+            inner = lo[at[0]] == hi[at[0]]
+            a = np.arange(len(at)) if inner else np.flatnonzero(piece[at] == lo[at[0]])
+            b = a if inner else np.flatnonzero(piece[at] != lo[at[0]])
+            own = component[at].copy()
+            if not len(a) or not len(b) or own.min() == own.max():
+                continue
+            x = _unit(unpack(packed.take(pa.array(at)), kind))
+            for s in range(0, len(a), SLICE):
+                part, rest = a[s:s + SLICE], b[s:] if inner else b
+                i, j = np.nonzero(((x[part] @ x[rest].T) >= cosine) & (own[part][:, None] != own[rest][None, :]))
+                ends = np.unique(np.stack([own[part[i]], own[rest[j]]], axis=1), axis=0)
+                for p, q in _joined(ends):
+                    out.append((p, q))
+                    own[own == p] = q
+        return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _joined(ends: np.ndarray) -> list[tuple[int, int]]:
+    """For each node of a few links: the node that stands for its component, where it is another one."""
+    parent: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while parent.setdefault(p, p) != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    for p, q in ends.tolist():
+        p, q = find(p), find(q)
+        parent[max(p, q)] = min(p, q)
+    return [(p, find(p)) for p in list(parent) if find(p) != p]
+
+
+def _rest(coded: DataFrame, found: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """Links (between component ids) of items of different components, wherever they are in their label.
+
+    A label's bins form blocks of about ``BLOCK`` items in their order; a crowded block is cut into pieces by a
+    hash.  Every two pieces meet whose blocks hold bins at most ``BINS`` apart.
+    """
+    group = ["label", "dim"]
+    line = Window.partitionBy(*group).orderBy("bin")
+    # a label has a bounded number of bins, however many items
+    bins = coded.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("block", F.floor(before / BLOCK))
+    blocks = bins.groupBy(*group, "block").agg(
+        F.min("bin").alias("first"), F.max("bin").alias("last"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces"))
+    ahead = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("pieces").over(ahead), F.lit(0)).cast("int"))
+    other = blocks.select(*group, *[F.col(c).alias(f"other_{c}") for c in ("first", "last", "pieces", "start")])
+    near = (F.col("other_first") - F.col("last") <= BINS) & (F.col("first") - F.col("other_last") <= BINS)
+    reach = blocks.join(other, group).groupBy(*group, "block", "pieces", "start").agg(
+        F.min(F.when(near, F.col("other_start"))).alias("from"),
+        F.max(F.when(near, F.col("other_start") + F.col("other_pieces") - 1)).alias("to"),
+        F.sum("other_pieces").alias("whole"))
+    placed = bins.select(*group, "bin", "block").join(reach, [*group, "block"])
+    bundles = max(1, math.ceil(coded.count() / BLOCK))
+    spread = coded.select("item", *group, "bin", "v").join(found, F.col("item") == F.col("node"), "left").join(
+        placed, [*group, "bin"]).withColumn("piece", (F.col("start") + F.pmod(F.xxhash64("item"), F.col("pieces"))).cast("int"))
+    cells = spread.withColumn("other", F.explode(F.sequence("from", "to"))).select(
+        *group, "v", F.coalesce("component", "item").alias("component"), "piece",
+        F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"),
+        # small labels share a task, a large one has a task for every two pieces
+        F.when(F.col("whole") == 1, F.pmod(F.xxhash64(*group), F.lit(bundles))).otherwise(F.xxhash64(*group, F.lit(1))).alias("task"))
+    return cells.groupBy("task", "lo", "hi").applyInArrow(lambda t: _missed(cosine, kind)(t), "a bigint, b bigint")
+
+
 def _count(cosine: float, kind: str):
     """Links of every item with the items of its component that are at hand, weighed by their copies."""
 
@@ -210,7 +311,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES,
         F.min("vec_id").alias("item"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     schema = "label int, h1 bigint, h2 bigint, item bigint, copies bigint, v binary, dim int"
     coded = tables.write(items.mapInArrow(
-        _codes(passes, bits, seed, kind), schema + "".join(f", code{p} bigint" for p in range(passes))), "items")
+        _codes(passes, bits, seed, kind, _bin_width(cosine)),
+        schema + "".join(f", code{p} bigint" for p in range(passes)) + ", bin int"), "items")
     parts = max(1, math.ceil(coded.count() / PART_ROWS))
 
     walked = []
@@ -223,7 +325,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES,
     passed = tables.write(reduce(DataFrame.union, walked), "passes")
     seams = passed.where(F.col("seam").isNotNull()).groupBy("pass", "seam").applyInArrow(
         lambda t: _across(neighbours, cosine, kind)(t), "a bigint, b bigint")
-    found = components(tables, passed.where(F.col("b").isNotNull()).select("a", "b").union(seams))
+    found = tables.write(components(tables, passed.where(F.col("b").isNotNull()).select("a", "b").union(seams)), "found")
+    tables.drop("passes")
+    missed = tables.write(_rest(coded, found, cosine, kind), "missed")
+    if missed.limit(1).count():
+        found = tables.write(components(tables, missed.union(found.where("node <> component")), "rest"), "whole")
 
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = coded.select("item", "copies", "v", "dim").join(found.join(sizes, "component"), F.col("item") == F.col("node"))

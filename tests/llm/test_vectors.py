@@ -76,6 +76,36 @@ def vectors(seed=1):
     return [(k, f32(v), lab, s) for k, v, lab, s in rows]
 
 
+def test_links_that_no_window_shows_are_found(spark, monkeypatch):
+    """One narrow pass leaves most links open; blocks are so small that labels are cut along the direction."""
+    from citesift.llm import projection_passes as P
+
+    rows = vectors(3)
+    want = sorted(brute_links(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for block, part in ((40, 16), (P.BLOCK, P.SLICE)):
+        monkeypatch.setattr(P, "BLOCK", block)
+        monkeypatch.setattr(P, "SLICE", part)
+        got = near_vectors(spark.createDataFrame(rows, SCHEMA), passes=1, bits=4, neighbours=2).collect()
+        got = sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        assert got == want
+
+
+def test_pairs_of_a_label_with_a_common_direction(spark):
+    """Vectors at a mean cosine of about 0.8, in which windows of sign patterns fill with unlinked ones."""
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((3000, 64)) + 2.0 * rnd.standard_normal(64)
+    near = x[:1500] / np.linalg.norm(x[:1500], axis=1, keepdims=True) + 0.19 * rnd.standard_normal((1500, 64)) / 8
+    x = np.concatenate([x, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = u @ u.T >= 0.98
+    np.fill_diagonal(close, False)
+    assert 0.7 < (u @ u.T).mean() < 0.9 and close.any(axis=1).sum() > 1500
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert [got[i][0] for i in range(len(x))] == close.sum(axis=1).tolist()
+    assert all(got[a][1] == got[b][1] for a, b in zip(*np.nonzero(close)))
+
+
 def test_links_components_and_kept_equal_brute_force(spark):
     rows = vectors()
     got = near_vectors(spark.createDataFrame(rows, SCHEMA), neighbours=16).collect()
