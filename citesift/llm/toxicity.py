@@ -217,6 +217,11 @@ class Model:
         return out
 
 
+def _heads(seen: set[str]) -> set[str]:
+    """What may become a term: the heads of longer words, and whole words that are shorter than a head."""
+    return {w[:k] for w in seen for k in range(min(STEM[0], len(w)), min(STEM[1], len(w)) + 1)}
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for part, raw, offs in W.blocks(batch, column):
         data, cuts = raw.tobytes(), offs.tolist()
@@ -232,10 +237,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, begin, end, _ = _word_codes([text])
                 line = codes.tobytes().decode("utf-32-le")
                 seen = {line[a:b] for a, b in zip(begin.tolist(), end.tolist())}
-                heads = {w[:k] for w in seen for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
-                (high if toxic else low).update(heads)
+                (high if toxic else low).update(_heads(seen))
                 if toxic:
-                    whole.update(w for w in seen if STEM[0] <= len(w) <= STEM[1])
+                    whole.update(w for w in seen if len(w) <= STEM[1])
             heads = sorted({*low, *high})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(heads, pa.string())] + [pa.array([c[h] for h in heads], pa.int64()) for c in (high, low, whole)],
@@ -253,8 +257,7 @@ def _holders(heads: dict[str, int]):
                     codes, begin, end, _ = _word_codes([text])
                     line = codes.tobytes().decode("utf-32-le")
                     seen = {line[a:b] for a, b in zip(begin.tolist(), end.tolist())}
-                    found = {heads.get(w[:k], -1) for w in seen for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
-                    out.append(sorted(found - {-1}))
+                    out.append(sorted({heads.get(h, -1) for h in _heads(seen)} - {-1}))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["heads"])
 
     return run
@@ -296,13 +299,14 @@ def _lexicon(counts: list, holders: list[list[int]], n_toxic: int, n_clean: int,
     company = [frozenset(picked.intersection(h)) for h in holders]
     for i in np.lexsort((-length, -np.array([r.toxic for r in counts])))[:len(counts) if chosen else 0].tolist():
         sets = len({company[d] - {i} for d in where[i]})
-        names = [counts[j].head for j in chosen]
+        # a word shorter than a head is no part of a longer one
+        names = [counts[j].head for j in chosen if min(length[i], length[j]) >= STEM[0]]
         if i not in picked and len(chosen) < terms and sets * -math.log(share) >= EVIDENCE and sets > 3 * clean[i] and not any(
                 n.startswith(counts[i].head) or counts[i].head.startswith(n) for n in names):
             chosen.append(i)
     rows = [counts[i] for i in chosen]
     names = [r.head for r in rows]
-    return Lexicon(names, [r.whole < 0.9 * r.toxic for r in rows], [1 if len(n) < 9 else 2 for n in names])
+    return Lexicon(names, [r.whole < 0.9 * r.toxic for r in rows], [0 if len(n) < STEM[0] else 1 if len(n) < 9 else 2 for n in names])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = TERMS) -> Model:
@@ -332,9 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
         # how surprising the head's split would be if it had nothing to do with toxicity (log likelihood ratio)
         evidence = (F.col("toxic") * F.log(F.col("toxic") / (both * share))
                     + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(1)) / (both * max(1 - share, 1e-9))))
-        telling = heads.where((F.col("toxic") >= 0.005 * n_toxic) & (F.col("toxic") >= 3)
-                              & (F.col("clean") * 8 <= F.col("toxic"))).where(evidence >= EVIDENCE)
-        counts = telling.orderBy(F.desc("toxic"), "head").limit(50 * terms).collect()
+        telling = heads.where((F.col("toxic") >= 3) & (F.col("clean") * 8 <= F.col("toxic"))).where(evidence >= EVIDENCE)
+        # bounded by ``rows``: heads of the texts learned from
+        counts = telling.orderBy(F.desc("toxic"), "head").collect()
         # one short list for each of at most ``rows`` texts
         holders = fit_rows.where("toxic > 0").select("text").mapInArrow(
             _holders({r.head: i for i, r in enumerate(counts)}), "heads array<int>")

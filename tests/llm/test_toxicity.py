@@ -114,3 +114,18 @@ def test_query_held_out_accuracy(spark):
     held = [r for r in got if r.held_out and r.doc_id in labels]
     right = sum(r.predicted == labels[r.doc_id] for r in held)
     assert right >= 0.97 * len(held)
+
+
+def test_short_and_rare_words_are_terms(spark):
+    """A telling word of three letters, and one that 9 of 2,000 toxic texts hold."""
+    rnd = random.Random(4)
+    neutral = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(400)]
+    ids = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 3 != 1][:12_000]
+    word = lambda i: "zog" if i < 300 else "grimbolt" if i < 309 else "blarghed" if i < 2000 else ""
+    rows = [(d, " ".join([*rnd.choices(neutral, k=5), word(i), *rnd.choices(neutral, k=3)]), int(i < 2000)) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {"zog", "grimbolt"} <= {n if len(n) < 4 else "grimbolt" if "grimbolt".startswith(n) else n for n in model.lexicon.terms}
+    texts = [(n, "some " + w + " here") for n, w in enumerate(["zog", "grimbolt", "zogs", "zo", "zag", "nothing"])]
+    got = {r.doc_id: r.score for r in toxicity_scores(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert [got[n] >= 0.7 for n in range(6)] == [True, True, False, False, False, False]
