@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citesift.llm.chat_masks import format_chats, read_back
 from citesift.llm.entropy_mix import entropy_mix
+from citesift.llm.exact_dedup import exact_groups
 from citesift.llm.kd_shards import kd_shards
 from citesift.llm.merkle_manifest import merkle_manifest
 from citesift.llm.norm_buckets import top_products
@@ -85,6 +86,11 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts(scan(spark, sf_dir, "documents"), similar=0.8, shingle=5).select("doc_id", "class_id", "kept")
 
 
+@register
+def op11_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(scan(spark, sf_dir, "documents"))
+
+
 @register
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(scan(spark, sf_dir, "documents"))
