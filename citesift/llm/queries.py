@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.llm.chat_masks import format_chats, read_back
+from citesift.llm.collocations import collocations
 from citesift.llm.entropy_mix import entropy_mix
 from citesift.llm.exact_dedup import exact_groups
 from citesift.llm.kd_shards import kd_shards
@@ -94,3 +95,8 @@ def op11_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(scan(spark, sf_dir, "documents"))
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(scan(spark, sf_dir, "documents"), least=10, most=2000)
