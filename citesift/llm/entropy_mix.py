@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.llm.shared import Tables, fresh
+from citesift.operators.ordinal import ordinal_within
 
 WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (3, 1, 2)
@@ -29,6 +30,8 @@ STEPS = 60
 CLOSE = 1e-7
 REACH = 700.0
 FULL = 1e300
+# rows of one repeated document that are written out together
+REPEATS = 1 << 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -104,16 +107,17 @@ def _solve(tables: Tables, counts: DataFrame, targets: DataFrame, most: int) ->
 
 def mix_decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source",
                   weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``doc_id, size, unnamed, source, source_size, target, copies, rows`` for each distinct (key, source, words).
+    """``doc_id, size, t, unnamed, source, source_size, target, copies, extra, rows`` for each distinct document.
 
-    Rows that agree in all three are rounded alike; ``rows`` counts them.  One row that repeats very often is
-    therefore one item here.
+    A document is a key, a source and a text (``t`` is its hash); ``rows`` counts its repeats.  All of them are
+    taken ``copies`` times, and ``extra`` of them once more, so one row that repeats very often is one item here
+    and still meets its share to the row.
     """
     tables = Tables(docs.sparkSession, "entropy_mix")
     keys = ["unnamed", "source"]
     sizes = tables.write(docs.select(
-        F.col(f"`{key}`").alias("doc_id"), word_count(text).alias("size"), F.col(f"`{source}`").isNull().alias("unnamed"),
-        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).groupBy("doc_id", "size", *keys).agg(
+        F.col(f"`{key}`").alias("doc_id"), word_count(text).alias("size"), text_hash(text).alias("t"), F.col(f"`{source}`").isNull().alias("unnamed"),
+        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).groupBy("doc_id", "size", "t", *keys).agg(
         F.count(F.lit(1)).alias("rows")), "sizes")
     targets = tables.write(source_targets(sizes, weights, share, most), "targets")
     counts = tables.write(sizes.groupBy(*keys, "size").agg(F.sum("rows").alias("n")), "counts")
@@ -122,55 +126,97 @@ def mix_decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", sour
     # a written table has a known size: Spark sends it to all tasks while it is small, and splits the join
     # where one source has very many documents otherwise
     rates = tables.write(targets.join(duals, keys), "rates")
+    # a null key, or one that many documents share, is spread by the texts
     rated = sizes.join(rates, keys).select(
-        "doc_id", "size", "rows", *keys, "source_size", "target", _rate(most).alias("rate"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BLOCK)).alias("block"))
-    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id").alias("h"), "doc_id", "size", "rows", "rate")
+        "doc_id", "size", "t", "rows", *keys, "source_size", "target", _rate(most).alias("rate"),
+        F.pmod(F.xxhash64("doc_id", "size", "t"), F.ceil(F.col("n_docs") / BLOCK)).alias("block"))
+    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id").alias("h"), "doc_id", "t", "size", "rows", "rate")
     blocks = rated.groupBy(*keys, "source_size", "target", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def walk(acc, x):
         least = F.floor(x["rate"])
         words = x["size"] * x["rows"]
+        due = acc["owed"] + (x["rate"] - least) * words
         # above a rate of 1 the short documents at the end can only take more, below it only less
-        bound = F.when(x["rate"] > 1, words).otherwise(0)
-        up = (x["rate"] > least) & (acc["owed"] + (x["rate"] - least) * words >= bound)
-        copies = (least + F.when(up, 1).otherwise(0)).cast("int")
-        return F.struct((acc["owed"] + (x["rate"] - copies) * words).alias("owed"),
-                        F.concat(acc["out"], F.array(copies)).alias("out"))
+        whole = F.floor(due / F.greatest(x["size"], F.lit(1))) + F.when(x["rate"] > 1, 0).otherwise(1)
+        extra = F.when((x["rate"] > least) & (x["size"] > 0), F.least(F.greatest(whole, F.lit(0)), x["rows"])).otherwise(0).cast("bigint")
+        return F.struct((due - extra * x["size"]).alias("owed"),
+                        F.concat(acc["out"], F.array(F.struct(least.cast("int").alias("copies"), extra.alias("extra")))).alias("out"))
 
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("out"))
-    walked = blocks.withColumn("copies", F.aggregate("items", start, walk)["out"])
-    each = walked.select(*keys, "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    return each.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.size").alias("size"), *keys, "source_size",
-                       "target", F.col("x.copies").alias("copies"), F.col("x.items.rows").alias("rows"))
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<copies:int,extra:bigint>>").alias("out"))
+    walked = blocks.withColumn("out", F.aggregate("items", start, walk)["out"])
+    each = walked.select(*keys, "source_size", "target", F.explode(F.arrays_zip("items", "out")).alias("x"))
+    return each.select(*[F.col(f"x.items.{c}").alias(c) for c in ("doc_id", "size", "t")], *keys, "source_size", "target",
+                       "x.out.copies", "x.out.extra", F.col("x.items.rows").alias("rows"))
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
+def _each_row(found: DataFrame) -> DataFrame:
+    """``found`` once for each of its rows, with ``copies`` for that row; a very frequent document is written out by many tasks."""
+    def out(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        return rows.select("*", F.explode(F.sequence(first, last)).alias("nth")).withColumn(
+            "copies", F.col("copies") + (F.col("nth") <= F.col("extra")).cast("int")).drop("nth")
+
+    few = out(found.where(F.col("rows") <= REPEATS), F.lit(1).cast("bigint"), F.col("rows"))
+    # so many parts that neither their list nor a part is long
+    part = F.greatest(F.lit(REPEATS), F.ceil(F.sqrt("rows")))
+    many = found.where(F.col("rows") > REPEATS).withColumn("size_of", part.cast("bigint"))
+    many = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / F.col("size_of")))))
+    many = many.repartition(F.xxhash64("doc_id", "t", "part"))
+    first = F.col("part") * F.col("size_of")
+    many = out(many, first + 1, F.least(first + F.col("size_of"), F.col("rows"))).drop("part", "size_of")
+    return few.unionByName(many)
+
+
 def entropy_mix(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, source`` for every document.
 
     ``size`` is the words of the text (null: 0), ``taken`` the words that the mix takes of it, ``copies``
     how often (0 to ``most``).  A null source is a source of its own, the last one.  Documents without words
-    are taken once and take no words.  Null keys are keys like others; rows equal in key, source and size are
-    taken equally often.  Columns not named are not read.  All choices follow from the rows' values, so reruns
-    agree.  An empty table gives an empty result.  ``settings`` are those of :func:`mix_decisions`.
+    are taken once and take no words.  Null keys are keys like others; of rows equal in key, source and text
+    some may be taken once more than the others, so that their source meets its target.  Columns not named are
+    not read.  All choices follow from the rows' values, so reruns agree.  An empty table gives an empty result.
+    ``settings`` are those of :func:`mix_decisions`.
     """
-    found = mix_decisions(docs, **settings)
-    each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    tables = Tables(docs.sparkSession, "entropy_mix_rows")
+    each = _each_row(tables.write(mix_decisions(docs, **settings), "decided"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"),
                        "copies", F.when(~F.col("unnamed"), F.col("source")).alias("source"))
 
 
 def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **settings) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as its copies, with the columns it came with."""
-    names = fresh(docs, "k", "n", "unnamed", "named", "copies", "copy")
-    found = mix_decisions(docs, text=text, key=key, source=source, **settings)
-    found = found.where("copies > 0").select("doc_id", "size", "unnamed", "source", "copies").toDF(*names[:5])
-    k, n, unnamed, named, copies = (F.col(c) for c in names[:5])
-    same = (F.col(f"`{key}`").eqNullSafe(k) & (word_count(text) == n) & (F.col(f"`{source}`").isNull() == unnamed)
+    """The mixed corpus: every row of ``docs`` as often as its copies, with the columns it came with.
+
+    Nulls, repeats and documents without words are taken as :func:`entropy_mix` says; of rows equal in key, source
+    and text those that are taken once more are the first in the order of the table as it is read.  An empty table stays empty.
+    """
+    tables = Tables(docs.sparkSession, "entropy_mix_rows")
+    taken = ("doc_id", "t", "unnamed", "source", "copies", "extra", "rows")
+    names = fresh(docs, "k", "h", "unnamed", "named", "copies", "extra", "rows", "copy", "tag")
+    found = tables.write(mix_decisions(docs, text=text, key=key, source=source, **settings).where("copies + extra > 0").select(
+        *taken).toDF(*names[:7]), "decided")
+    k, h, unnamed, named, copies, extra, rows = (F.col(c) for c in names[:7])
+    same = (F.col(f"`{key}`").eqNullSafe(k) & text_hash(text).eqNullSafe(h) & (F.col(f"`{source}`").isNull() == unnamed)
             & (F.coalesce(F.col(f"`{source}`"), F.lit("")) == named))
-    each = F.explode(F.sequence(F.lit(1), copies)).alias(names[5])
-    return docs.join(found, same).select(*[F.col(f"`{c}`") for c in docs.columns], each).drop(names[5])
+    met = docs.join(found, same)
+    given = [F.col(f"`{c}`") for c in docs.columns]
+
+    def taken_rows(rows_of: DataFrame, times: Column) -> DataFrame:
+        return rows_of.where(times > 0).select(*given, F.explode(F.sequence(F.lit(1), times)).alias(names[7])).drop(names[7])
+
+    alike = (extra == 0) | (extra == rows)
+    out = taken_rows(met.where(alike), copies + F.when(extra > 0, 1).otherwise(0))
+    if found.where(~alike).limit(1).count():
+        # only repeated documents that are not all taken alike need numbers
+        nth = ordinal_within(met.where(~alike).withColumn(names[8], F.monotonically_increasing_id()), [*names[:4]], [names[8]], name=names[7])
+        first = F.col(names[7]) <= extra
+        numbered = tables.write(nth.withColumn(names[4], copies + first.cast("int")).select(*given, copies), "numbered")
+        out = out.union(taken_rows(numbered, copies))
+    return out

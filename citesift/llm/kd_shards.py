@@ -9,6 +9,9 @@ holds the median), so every pass is one partially aggregated sum and the driver
 A group above 1/64 of a shard would tip a median, so these few (at most 64 per shard by construction) are
 placed whole on the least loaded shards first and the tree fills what is left.  A group larger than one shard
 is cut by the hash of its rows; every smaller group stays in one shard.
+
+Rows that agree in key and text are counted, not carried: they are an item, cut into parts of a bounded number of rows,
+and parts are what is hashed.  So a null key, or one row that repeats very often, is cut like any other.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ BINS = 1024
 HASH_BINS = 4096
 LARGE = 64
 SLOT_ROWS = 4000
+# most rows of a part of an item, and most parts of an item
+PART_ROWS, PARTS = 256, 1 << 16
 AXES = ("x_length", "x_source", "x_lang")
 
 
@@ -119,8 +124,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str =
 
     ``size`` is the text's UTF-8 bytes plus 8; a null text has no bytes and counts as an equal of the empty
     text (checksum 0).  Null sources and languages are a place of their own; null or repeated keys are rows
-    like others.  ``slot`` numbers each shard's rows from 0 without gaps, by a hash of key and checksum, then
-    key.  Only the four named columns are read, so further columns cannot clash.  An empty table gives an
+    like others; where many rows agree in key and text, as many of them as need be go to other shards.  ``slot``
+    numbers each shard's rows from 0 without gaps, by a hash of key and checksum, then key.  Only the four named columns are read, so further columns cannot clash.  An empty table gives an
     empty result.
     """
     spark = docs.sparkSession
@@ -129,12 +134,20 @@ def kd_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str =
     rows = tables.write(docs.select(
         F.col(f"`{key}`").cast("bigint").alias("doc_id"), (F.octet_length(body) + 8).cast("bigint").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("t"),
-        F.col(f"`{source}`").alias("s"), F.col(f"`{lang}`").alias("l")), "rows")
+        F.col(f"`{source}`").alias("s"), F.col(f"`{lang}`").alias("l")).groupBy("doc_id", "size", "text_crc32", "t").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("s").alias("s"), F.min("l").alias("l")), "rows")
     same = ["text_crc32", "t", "size"]
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
-    n_rows, fair = totals.n, (totals.bytes or 0) / shards
+    weight = F.col("size") * F.col("rows")
+    totals = rows.agg(F.sum("rows").alias("n"), F.sum(weight).alias("bytes")).first()
+    n_rows, fair = totals.n or 0, (totals.bytes or 0) / shards
+    # no part is above a small share of a shard, however long its text
+    bound = F.least(F.lit(PART_ROWS), F.greatest(F.lit(1), F.floor(F.lit(fair / PART_ROWS) / F.col("size"))))
+    step = F.greatest(bound, F.ceil(F.col("rows") / PARTS)).cast("bigint")
+    parts = rows.withColumn("step", step).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / F.col("step"))))).withColumn(
+        "rows", F.least("step", F.col("rows") - F.col("part") * F.col("step"))).drop("step")
     groups = tables.write(rows.groupBy(*same).agg(
-        F.sum("size").alias("w"), F.min("s").alias("s"), F.min("l").alias("l")).select(
+        F.sum(weight).alias("w"), F.min("s").alias("s"), F.min("l").alias("l")).select(
         *same, "w", (F.log2(F.col("size").cast("double")) / 40).alias("x_length"), _unit(F.col("s")).alias("x_source"),
         _unit(F.col("l")).alias("x_lang")), "groups")
 
@@ -143,8 +156,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str =
     large = groups.where(is_large).select(*same, "w", cuts.alias("cuts"))
     pieces = [((r.text_crc32, r.t, r.size, 0), float(r.w)) for r in large.where("cuts = 1").collect()]
     # fewer groups than shards are above a shard's share, and each is cut into about four pieces a share
-    parted = rows.join(F.broadcast(large.where("cuts > 1")), same).groupBy(
-        *same, F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int").alias("piece")).agg(F.sum("size").alias("w"))
+    piece = F.pmod(F.xxhash64("doc_id", "part"), F.col("cuts")).cast("int")
+    parted = parts.join(F.broadcast(large.where("cuts > 1")), same).groupBy(*same, piece.alias("piece")).agg(F.sum(weight).alias("w"))
     pieces += [((r.text_crc32, r.t, r.size, r.piece), float(r.w)) for r in parted.collect()]
     n_cuts = {(r.text_crc32, r.t, r.size): r.cuts for r in large.collect()}
     where, room = _place_large(pieces, shards, fair)
@@ -161,18 +174,17 @@ def kd_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str =
         placed = placed.unionByName(spark.createDataFrame(
             [(*k[:3], s, n_cuts[k[:3]], k[3]) for k, s in where.items()],
             "text_crc32 bigint, t bigint, size bigint, shard int, cuts int, piece int"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int") == F.col("piece")
     buckets = max(1, math.ceil(n_rows / (shards * SLOT_ROWS)))
-    assigned = tables.write(rows.join(placed, same).where(piece).select(
-        "doc_id", "size", "text_crc32", "shard",
-        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("bucket")), "assigned")
+    assigned = tables.write(parts.join(placed, same).where(piece == F.col("piece")).select(
+        "doc_id", "size", "text_crc32", "shard", "part", "rows",
+        F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "part"), F.lit(buckets)).alias("bucket")), "assigned")
     tables.drop("rows", "groups", *[f"level{n}" for n in range(level)])
 
     order = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = assigned.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
+    before = assigned.groupBy("shard", "bucket").agg(F.sum("rows").alias("n")).select(
         "shard", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return assigned.join(before, ["shard", "bucket"]).select(
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.col("before") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
+    return assigned.join(before, ["shard", "bucket"]).withColumn("slot", slot).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("before") + F.row_number().over(inside) - 1).cast("bigint").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"))
+        F.explode(F.sequence("slot", F.col("slot") + F.col("rows") - 1)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -17,13 +17,15 @@ from citesift.llm.norm_buckets import top_products
 from citesift.llm.projection_passes import near_vectors
 from citesift.llm.repeat_automata import repeat_digests
 from citesift.llm.shared import scan
+from citesift.llm.statements import ORACLES
 from citesift.llm.suffix_pieces import encode
 from citesift.llm.token_counts import token_counts
 from citesift.llm.toxicity import fit, held_out, toxicity_scores
 from citesift.llm.weighted_minhash import near_texts
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def register(fn):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
+from citesift.llm.shared import fresh
 from citesift.session import ship_package
 
 SPACE = "▁"
@@ -83,14 +84,16 @@ class Pieces:
         key = np.zeros(len(codes), np.int64)
         for k in range(have):
             key <<= bits
-            key[:len(codes) - k] |= letter[k:]
+            # fewer characters than one number holds: the places after the last one stay empty
+            if k < len(codes):
+                key[:len(codes) - k] |= letter[k:]
         order = np.argsort(key)
         while have < self.longest:
             ranked = key[order]
             rank = np.empty(len(key), np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
             key = rank * (int(rank[order[-1]]) + 2)
-            key[:-have] += rank[have:] + 1
+            key[:max(0, len(key) - have)] += rank[have:] + 1
             order = np.argsort(key)
             have *= 2
         return order
@@ -268,13 +271,14 @@ def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     """
     ship_package(docs.sparkSession)
     path = model or public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
+    body = fresh(docs, "body")[0]
+    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias(body))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            for part, raw, offs in W.blocks(batch, "__text", BLOCK):
+            for part, raw, offs in W.blocks(batch, body, BLOCK):
                 data, cuts = raw.tobytes(), offs.tolist()
                 texts = [data[a:b].decode("utf-8") for a, b in zip(cuts, cuts[1:])]
                 ids = pieces.encode(texts)

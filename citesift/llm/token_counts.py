@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
+from citesift.llm.shared import fresh
 from citesift.session import ship_package
 
 BATCH_BYTES = 256 << 10
@@ -87,13 +88,14 @@ def token_counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     """
     ship_package(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
+    body = fresh(docs, "body")[0]
+    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias(body))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(path)
         for batch in batches:
-            for part, raw, offs in W.blocks(batch, "__text"):
+            for part, raw, offs in W.blocks(batch, body):
                 data = raw.tobytes()
                 cuts = offs.tolist()
                 n = lengths.count([data[a:b] for a, b in zip(cuts, cuts[1:])])

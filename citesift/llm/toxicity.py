@@ -1,8 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, weighed by their context.
 
 A lexicon of words and stems is learned from labelled documents.  Its trie, intersected with Levenshtein
-automata, becomes one deterministic automaton that reads the characters of a word and ends with the nearest
-lexicon term and its distance.  All words of a block of texts take their steps together, one array operation
+automata, is one deterministic automaton, built as far as the words need it, that reads the characters of a word and
+ends with the nearest lexicon term and its distance.  All words of a block of texts take their steps together, one array operation
 per character position, and leave as soon as no term can be reached.
 
 Every hit falls into a cell (term, distance), and its context decides how: a hit between quotation marks within
@@ -36,6 +36,10 @@ UNEXPLAINED = 9.0
 # a cell with a smaller log likelihood ratio says nothing by itself, and many such cells must not add up
 TELLING = 2.0
 WINDOW = 8
+# automaton states a worker keeps
+STATES = 50_000
+# bytes of text whose heads are counted at once: a text has about nine heads a word
+HEAD_BYTES = 128 << 10
 
 # characters that end a word besides white space, and quotation marks with the side they stand on
 _BREAKS = " \t\n\x0b\x0c\r.,;:!?()[]{}/<>…\"“”„«»‹›"
@@ -62,97 +66,117 @@ _KIND = np.asarray([_LETTER if chr(c).isalnum() else _SIGN for c in range(1 << 1
 _KIND[[ord(c) for c in _BREAKS]] = _BREAK
 
 
-@dataclass
 class Lexicon:
-    """Terms, whether each is a stem that may go on, and the automaton over them."""
-
-    terms: list[str]
-    stems: list[bool]
-    limits: list[int]
+    """Terms, whether each is a stem that may go on, the edits each allows, and the automaton over them.
 
-    def __post_init__(self):
-        self._build()
+    The automaton is the intersection of the terms' trie with their Levenshtein automata, made deterministic.  Its
+    states come into being when a word first needs them, so what it holds follows the words read, not the number of
+    terms; a worker forgets them all once there are more than ``STATES``.  Only the terms travel to the tasks.
+    """
 
-    def _build(self) -> None:
-        children: list[dict[str, int]] = [{}]
-        ends: list[list[int]] = [[]]
-        reach = [0]
-        for t, term in enumerate(self.terms):
+    def __init__(self, terms: list[str], stems: list[bool], limits: list[int]):
+        self.terms, self.stems, self.limits = terms, stems, limits
+        self._children: list[dict[str, int]] = [{}]
+        self._ends: list[list[int]] = [[]]
+        self._reach = [0]
+        for t, term in enumerate(terms):
             node = 0
-            reach[0] = max(reach[0], self.limits[t])
+            self._reach[0] = max(self._reach[0], limits[t])
             for c in term:
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    ends.append([])
-                    reach.append(0)
-                node = children[node][c]
-                reach[node] = max(reach[node], self.limits[t])
-            ends[node].append(t)
-        letters = sorted({c for term in self.terms for c in term})
-        self.classes = {c: i + 1 for i, c in enumerate(letters)}
-
-        def close(items: dict, done: dict) -> tuple:
-            """Skip lexicon letters, note finished stems, and drop what cannot improve on them."""
-            todo = list(items.items())
-            while todo:
-                node, e = todo.pop()
-                if items.get(node, 99) < e:
-                    continue
-                for t in ends[node]:
-                    if self.stems[t] and e <= self.limits[t] and e < done.get(t, 99):
-                        done[t] = e
-                for child in children[node].values():
-                    if e + 1 <= reach[child] and e + 1 < items.get(child, 99):
-                        items[child] = e + 1
-                        todo.append((child, e + 1))
-            best = min(done.values(), default=99)
-            live = {n: e for n, e in items.items() if e < best}
-            kept = min(((e, t) for t, e in done.items()), default=None)
-            return tuple(sorted(live.items())), kept
-
-        start = close({0: 0}, {})
-        number, table, out = {start: 1, ((), None): 0}, [None, None], [None, None]
-        queue = [start]
-        table[0] = [0] * (len(letters) + 1)
-        while queue:
-            state = queue.pop()
-            items, done = state
-            row = []
-            for c in [None, *letters]:
-                after: dict[int, int] = {}
-                for node, e in items:
-                    steps = [(child, e if x == c else e + 1) for x, child in children[node].items()]
-                    for nxt, f in [(node, e + 1), *steps]:
-                        if f <= reach[nxt] and f < after.get(nxt, 99):
-                            after[nxt] = f
-                nxt = close(after, {} if done is None else {done[1]: done[0]})
-                if nxt not in number:
-                    number[nxt] = len(table)
-                    table.append(None)
-                    out.append(None)
-                    queue.append(nxt)
-                row.append(number[nxt])
-            table[number[state]] = row
-        for (items, done), k in number.items():
-            found = [(e, t) for node, e in items for t in ends[node] if e <= self.limits[t]]
-            out[k] = min([*found, *([done] if done else [])], default=None)
-        self.table = np.asarray(table, dtype=np.int32)
-        self.out_term = np.asarray([-1 if o is None else o[1] for o in out], dtype=np.int32)
-        self.out_edits = np.asarray([0 if o is None else o[0] for o in out], dtype=np.int32)
-        self.class_of = np.zeros(max([0, *map(ord, letters)]) + 2, dtype=np.int32)
-        for c, i in self.classes.items():
+                if c not in self._children[node]:
+                    self._children[node][c] = len(self._children)
+                    self._children.append({})
+                    self._ends.append([])
+                    self._reach.append(0)
+                node = self._children[node][c]
+                self._reach[node] = max(self._reach[node], limits[t])
+            self._ends[node].append(t)
+        self._letters = sorted({c for term in terms for c in term})
+        self.class_of = np.zeros(max([0, *map(ord, self._letters)]) + 2, dtype=np.int32)
+        for i, c in enumerate(self._letters, 1):
             self.class_of[ord(c)] = i
+        self._forget()
+
+    def __reduce__(self):
+        return Lexicon, (self.terms, self.stems, self.limits)
+
+    def _forget(self) -> None:
+        self._number: dict = {}
+        self._states: list = []
+        self.table = np.full((64, len(self._letters) + 1), -1, dtype=np.int32)
+        self.out_term = np.full(64, -1, dtype=np.int32)
+        self.out_edits = np.zeros(64, dtype=np.int32)
+        self._state(((), None))
+        self.table[0] = 0
+        self._start = self._state(self._close({0: 0}, {}))
+
+    def _close(self, items: dict, done: dict) -> tuple:
+        """Skip lexicon letters, note finished stems, and drop what cannot improve on them."""
+        todo = list(items.items())
+        while todo:
+            node, e = todo.pop()
+            if items.get(node, 99) < e:
+                continue
+            for t in self._ends[node]:
+                if self.stems[t] and e <= self.limits[t] and e < done.get(t, 99):
+                    done[t] = e
+            for child in self._children[node].values():
+                if e + 1 <= self._reach[child] and e + 1 < items.get(child, 99):
+                    items[child] = e + 1
+                    todo.append((child, e + 1))
+        best = min(done.values(), default=99)
+        live = {n: e for n, e in items.items() if e < best}
+        kept = min(((e, t) for t, e in done.items()), default=None)
+        return tuple(sorted(live.items())), kept
+
+    def _state(self, state: tuple) -> int:
+        """The number of a state; a new one gets the next."""
+        k = self._number.get(state)
+        if k is None:
+            k = self._number[state] = len(self._states)
+            self._states.append(state)
+            if k == len(self.table):
+                more = len(self.table)
+                self.table = np.concatenate([self.table, np.full((more, self.table.shape[1]), -1, np.int32)])
+                self.out_term = np.concatenate([self.out_term, np.full(more, -1, np.int32)])
+                self.out_edits = np.concatenate([self.out_edits, np.zeros(more, np.int32)])
+            items, done = state
+            found = [(e, t) for node, e in items for t in self._ends[node] if e <= self.limits[t]]
+            best = min([*found, *([done] if done else [])], default=None)
+            if best is not None:
+                self.out_edits[k], self.out_term[k] = best
+        return k
+
+    def _step(self, state: int, letter: int) -> None:
+        items, done = self._states[state]
+        c = self._letters[letter - 1] if letter else None
+        after: dict[int, int] = {}
+        for node, e in items:
+            steps = [(child, e if x == c else e + 1) for x, child in self._children[node].items()]
+            for nxt, f in [(node, e + 1), *steps]:
+                if f <= self._reach[nxt] and f < after.get(nxt, 99):
+                    after[nxt] = f
+        nxt = self._state(self._close(after, {} if done is None else {done[1]: done[0]}))
+        self.table[state, letter] = nxt
 
     def hits(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words that are near a term, the term and the distance."""
+        if len(self._states) > STATES:
+            self._forget()
         cls = self.class_of[np.minimum(codes, len(self.class_of) - 1)]
         word = np.arange(len(begin))
         at, stop = begin.copy(), end
-        state = np.ones(len(begin), dtype=np.int32)
+        state = np.full(len(begin), self._start, dtype=np.int32)
         final_word, final_state = [], []
         while len(word):
-            state = self.table[state, cls[at]]
+            after = self.table[state, cls[at]]
+            new = np.flatnonzero(after < 0)
+            if len(new):
+                wide = self.table.shape[1]
+                for x in np.unique(state[new].astype(np.int64) * wide + cls[at[new]]).tolist():
+                    self._step(x // wide, x % wide)
+                after = self.table[state, cls[at]]
+            state = after
             at = at + 1
             over = at >= stop
             dead = state == 0
@@ -222,15 +246,15 @@ def _heads(seen: set[str]) -> set[str]:
     return {w[:k] for w in seen for k in range(min(STEM[0], len(w)), min(STEM[1], len(w)) + 1)}
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for part, raw, offs in W.blocks(batch, column):
+def _texts(batch: pa.RecordBatch, column: str, limit: int = W.BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for part, raw, offs in W.blocks(batch, column, limit):
         data, cuts = raw.tobytes(), offs.tolist()
         yield part, [data[a:b].decode("utf-8") for a, b in zip(cuts, cuts[1:])]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in _texts(batch, "text"):
+        for part, texts in _texts(batch, "text", HEAD_BYTES):
             low, high = Counter(), Counter()
             whole = Counter()
             for text, toxic in zip(texts, part.column("toxic").to_pylist()):
@@ -344,11 +368,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
             _holders({r.head: i for i, r in enumerate(counts)}), "heads array<int>")
         lexicon = _lexicon(counts, [r.heads for r in holders.collect()], n_toxic, n_clean, terms)
 
+    terms_of = docs.sparkSession.sparkContext.broadcast(lexicon)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch, "text"):
                 seen: dict = defaultdict(lambda: [0, 0])
-                for found, toxic in zip(cells(lexicon, texts), part.column("toxic").to_pylist()):
+                for found, toxic in zip(cells(terms_of.value, texts), part.column("toxic").to_pylist()):
                     if toxic:
                         # what a term itself explains says nothing for the near misses beside it
                         found = {c for c in found if not c[1] and not c[2]} or found
@@ -364,6 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
     counted = fit_rows.mapInArrow(count, "term int, edits int, quoted boolean, toxic bigint, clean bigint").groupBy(
         "term", "edits", "quoted").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     tables.drop("rows")
+    terms_of.destroy()
     return _weigh(lexicon, counted, n_toxic, n_clean)
 
 

@@ -249,8 +249,10 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     group = tables.write(banded.join(crowded, "v"), "group")
     tables.drop("banded", "crowded")
     wanted = group.select(F.col("node").alias("h1")).distinct()
-    # texts always move by a merge join: the plan, and what it shuffles, is the same at every size
-    texts = tables.write(hashed.select("h1", "text").join(wanted.hint("merge"), "h1").groupBy("h1").agg(F.first("text").alias("text")), "texts")
+    # a partition sends each of its texts once, however many copies it holds; then texts always move by a merge join: the
+    # plan, and what it shuffles, is the same at every size
+    once = hashed.select("h1", "text").groupBy("h1").agg(F.first("text").alias("text"))
+    texts = tables.write(once.join(wanted.hint("merge"), "h1"), "texts")
 
     # the node with most company leads its groups: of copies of one text most likely the text itself
     company = group.groupBy("node").agg(F.sum("size").alias("company"))

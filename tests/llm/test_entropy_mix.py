@@ -71,6 +71,20 @@ def test_applied_mix_repeats_whole_rows(spark):
     assert Counter(r.doc_id for r in out.collect()) == +want
 
 
+def test_null_keys_and_repeated_rows_meet_the_target(spark):
+    docs = [(None, f"{i} " * 10, "a", "n") for i in range(600)] + [(7, "one two three", "b", "n")] * 9000
+    docs += [(i, "w " * (1 + i % 9), "c", "n") for i in range(400)] + [(None, None, "c", "n")] * 5000
+    df = spark.createDataFrame(docs, SCHEMA).repartition(6)
+    got = entropy_mix(df).collect()
+    check(docs, got, lambda target, most: 2 * most)
+    assert len({r.copies for r in got if r.doc_id == 7}) == 2
+    out = Counter((r.doc_id, r.text) for r in apply_mix(df).collect())
+    want = Counter()
+    for r in entropy_mix(df).collect():
+        want[r.doc_id] += r.copies
+    assert Counter({i: sum(n for (k, _), n in out.items() if k == i) for i in want}) == want
+
+
 def solved(spark, sources):
     """Words that each source's rates take, by counts: ``sources`` has {size: documents} and the target as a share."""
     import math

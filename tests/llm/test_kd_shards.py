@@ -44,6 +44,11 @@ def test_half_of_all_bytes_in_one_group(spark):
     check(docs, kd_shards(spark.createDataFrame(docs, SCHEMA)).collect(), 0.1)
 
 
+def test_rows_with_null_or_equal_keys_are_cut_like_others(spark):
+    docs = [(None, None, None, None, "")] * 6000 + [(i, f"{i} " * 4, "en", "s", "") for i in range(600)] + [(3, "same " * 9, "en", "s", "")] * 3000
+    check(docs, kd_shards(spark.createDataFrame(docs, SCHEMA).repartition(5)).collect(), 0.05)
+
+
 def test_empty_and_tiny_tables(spark):
     assert kd_shards(spark.createDataFrame([], SCHEMA)).count() == 0
     got = kd_shards(spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None)], SCHEMA)).collect()

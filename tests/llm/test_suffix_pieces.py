@@ -34,6 +34,17 @@ def test_ids_equal_the_library_and_come_back(spark):
     assert out.where("not restored").count() == marks
 
 
+def test_tables_of_one_short_word_and_blocks_with_one_new_word(spark):
+    from citesift.llm.suffix_pieces import Pieces
+
+    for texts in (["hello"], ["a"], ["aaaa"], ["é"], [None, "", "x"]):
+        got = encode(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()
+        assert [r.token_ids for r in sorted(got, key=lambda r: r.doc_id)] == library(texts)
+    pieces = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for block in (["the quick brown fox jumps over the lazy dog " * 20], ["the zebra"], ["q"], ["the quick", "ab"], ["the"]):
+        assert [x.tolist() for x in pieces.encode(block)] == library(block)
+
+
 def test_empty_table(spark):
     out = encode(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0 and decode(out).count() == 0
