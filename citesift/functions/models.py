@@ -102,10 +102,10 @@ def complete(df: DataFrame, prompt_col: str, *, provider: str = "deterministic",
     factory = PROVIDERS[provider]  # resolved on the driver and shipped with the task (registries are per process)
     if probe is not None:
         sent = F.col(prompt_col).isNotNull()
-        failure = get_provider(provider).column_failure(F.col(prompt_col))
-        return (df.withColumn("failure_type", F.when(sent, failure))
-                .withColumn(out_col, F.when(sent & F.col("failure_type").isNull(), probe))
-                .withColumn("attempts", F.when(sent, F.lit(1)).otherwise(F.lit(0))))
+        failure = F.when(sent, get_provider(provider).column_failure(F.col(prompt_col)))
+        # the columns and their order are those of the other path
+        return df.select("*", F.when(sent & failure.isNull(), probe).alias(out_col),
+                         F.when(sent, F.lit(1)).otherwise(F.lit(0)).alias("attempts"), failure.alias("failure_type"))
     ship_package(df.sparkSession)  # the task below refers to the package's classes
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("attempts", T.IntegerType()),
