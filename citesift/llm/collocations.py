@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.llm import words as W
+from citesift.llm.ranges import range_of
 from citesift.llm.shared import Tables
 
 LEAST = 10
@@ -251,20 +252,23 @@ def _merged(tables: Tables, rows: DataFrame, order: list[Column], one: str, two:
         *keys).drop(*keys).withColumn("tag", F.monotonically_increasing_id())
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields)
     met = tables.write(sorted_rows.mapInArrow(
-        _lockstep, f"{fields}, one bigint, two bigint, most bigint, tail boolean"), f"{name}_ranges")
-    # one row a range, so as many as there are shuffle partitions at most
-    part = F.shiftright("tag", 33)
-    edges = met.where("k = 0").select(part.alias("at"), F.col("f").alias("lead"), "one", "two", F.col("most").alias("heads"))
-    earlier = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        "at", "lead", "heads", F.last("one", ignorenulls=True).over(earlier).alias("c1"), F.last("two", ignorenulls=True).over(earlier).alias("c2"),
-        F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("seen"))
-    # triples that lead a range belong to the last head before it
-    late = carried.groupBy(F.col("seen").alias("after")).agg(F.max("lead").alias("late"))
-    carried = tables.write(carried.join(late, F.col("seen") + F.col("heads") == F.col("after"), "left").select("at", "c1", "c2", "late"), name)
+        _lockstep, f"{fields}, one bigint, two bigint, most bigint, tail boolean"), name)
+    # what crosses a cut: four numbers a range, and no more ranges than shuffle partitions
+    part = range_of("tag")
+    edges = sorted(map(tuple, met.where("k = 0").select(part, "f", "one", "two", "most").collect()))
+    carried, first, second = [], None, None
+    for at, _, f1, f2, _ in edges:
+        carried.append([at, first, second, 0])
+        first, second = f1 if f1 is not None else first, f2 if f2 is not None else second
+    late = 0
+    for row, (_, lead, _, _, heads) in zip(reversed(carried), reversed(edges)):
+        # triples that lead a range belong to the last head before it
+        row[3] = late
+        late = lead if heads else max(late, lead)
+    carried = rows.sparkSession.createDataFrame(carried, "at bigint, c1 bigint, c2 bigint, late bigint")
     return met.where("k > 0").join(F.broadcast(carried), part == F.col("at")).select(
         *rows.columns, F.coalesce("one", "c1").alias(one), F.coalesce("two", "c2").alias(two),
-        F.when(F.col("tail"), F.greatest("most", F.coalesce("late", F.lit(0)))).otherwise(F.col("most")).alias(most))
+        F.when(F.col("tail"), F.greatest("most", "late")).otherwise(F.col("most")).alias(most))
 
 
 def _leading(tables: Tables, rows: DataFrame, most: int) -> DataFrame:

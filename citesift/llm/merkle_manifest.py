@@ -87,7 +87,6 @@ def _climb(tables: Tables, nodes: DataFrame, most: int, width: int, name: str) -
         nodes = level.where(F.pmod("i", F.lit(width)) == 0).select(
             "t", (F.col("i") / width).cast("bigint").alias("i"), F.ceil(F.col("n") / width).alias("n"), parent.alias("h"),
             F.lit(None).cast(level.schema["p"].dataType).alias("p"))
-        nodes = tables.write(nodes, f"{name}{len(levels)}_nodes")
         most = -(-most // width)
 
 
@@ -124,14 +123,13 @@ def merkle_manifest(docs: DataFrame, key: str = "doc_id", source: str = "source"
                                        F.monotonically_increasing_id().alias("row")), "leaves")
     placed = numbered(tables, leaves, ["source", "doc_id", "leaf", "row"], "placed")
     sources = tables.write(placed.groupBy("source").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "sources")
-    ranked = tables.write(numbered(tables, sources, ["first"], "ranked").select(
-        F.col("source").alias("of"), "first", "n", F.col("place").alias("t")), "trees")
+    trees = numbered(tables, sources, ["first"], "trees").select(F.col("source").alias("of"), "first", "n", F.col("place").alias("t"))
     carried = F.struct("doc_id", "forged").alias("p")
-    nodes = tables.write(placed.join(ranked, F.col("source").eqNullSafe(F.col("of"))).select(
+    nodes = tables.write(placed.join(trees, F.col("source").eqNullSafe(F.col("of"))).select(
         "t", (F.col("place") - F.col("first")).alias("i"), "n", F.col("leaf").alias("h"), carried), "nodes")
-    tables.drop("leaves", "placed", "placed_tagged", "sources", "ranked", "ranked_tagged")
     # two numbers: the largest source and how many there are
-    most = ranked.agg(F.max("n").alias("rows"), F.count(F.lit(1)).alias("trees")).first()
+    most = sources.agg(F.max("n").alias("rows"), F.count(F.lit(1)).alias("trees")).first()
+    tables.drop("leaves", "placed", "sources", "trees")
 
     levels, tops = _climb(tables, nodes, most.rows or 0, width, "leaves_level")
     below = tops[0]
@@ -147,8 +145,8 @@ def merkle_manifest(docs: DataFrame, key: str = "doc_id", source: str = "source"
     no_path = F.array().cast(_PATH).alias("path")
     blank = F.lit(None).cast("binary").alias("top")
     paths = last[-1].select("t", F.lit(0).cast("bigint").alias("i"), no_path, blank)
-    for n, level in reversed(list(enumerate(upper))):
-        paths = tables.write(_descend(level, paths, width), f"sources_path{n}")
+    for level in reversed(upper):
+        paths = _descend(level, paths, width)
     # a source's way to the root, and its own digest
     by_tree = crown.select("i", "h").join(paths.select(F.col("i").alias("at"), "path"), F.col("i") == F.col("at")).select(
         F.col("i").alias("t"), F.lit(0).cast("bigint").alias("i"), "path", F.col("h").alias("top")) if upper else crown.select(
@@ -163,7 +161,6 @@ def merkle_manifest(docs: DataFrame, key: str = "doc_id", source: str = "source"
             inner = _descend(levels[n], paths, width)
             if not n:
                 break
-            inner = tables.write(inner, f"leaves_path{n}")
             ends = ends.union(inner.select("t", "i", "path", "top"))
         paths = ends
     columns = ["h", "p.doc_id", "p.forged", "path", "top"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm.shared import Tables
@@ -10,18 +12,21 @@ from citesift.llm.shared import Tables
 _LOW = (1 << 33) - 1
 
 
-def spread(tables: Tables, rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` sorted by ``order`` over ranges and written, with ``tag``: range number in the high bits, place in it in the low ones."""
-    return tables.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+def numbered(tables: Tables, rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the order of the columns ``order`` (nulls first).
+
+    The sorted rows are written as table ``name``, each with its range and its place there.
+    """
+    tagged = tables.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "tag", F.monotonically_increasing_id()), name)
+    # two numbers a range, and no more ranges than shuffle partitions
+    counts = sorted(map(tuple, tagged.groupBy(range_of("tag")).agg(F.count(F.lit(1))).collect()))
+    before = [0, *accumulate(n for _, n in counts)]
+    bases = rows.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(counts, before)], "range bigint, base bigint")
+    return tagged.withColumn("range", range_of("tag")).join(F.broadcast(bases), "range").withColumn(
+        "place", F.col("base") + F.col("tag").bitwiseAND(F.lit(_LOW))).drop("range", "tag", "base")
 
 
-def numbered(tables: Tables, rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with ``place``, from 0 in the order of the columns ``order`` (nulls first)."""
-    tagged = spread(tables, rows, order, f"{name}_tagged")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a range: as many as there are shuffle partitions at most
-    bases = tables.write(tagged.groupBy(F.shiftright("tag", 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).select(
-        "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), name)
-    return tagged.withColumn("range", F.shiftright("tag", 33)).join(F.broadcast(bases), "range").withColumn(
-        "place", F.col("base") + F.col("tag").bitwiseAND(F.lit(_LOW))).drop("range", "tag", "base")
+def range_of(tag: str) -> Column:
+    """The range's number in a ``monotonically_increasing_id``."""
+    return F.shiftright(tag, 33)
