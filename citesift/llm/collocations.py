@@ -27,7 +27,8 @@ from citesift.llm.shared import Tables
 LEAST = 10
 MOST = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-BLOCK = 4 << 20
+# a block's arrays take about forty times its bytes
+BLOCK = 1 << 20
 # bits of the table that says which phrases may be common enough: 16 MB at most
 TABLE_BITS = (16, 27)
 EMIT_ROWS = 1 << 17
