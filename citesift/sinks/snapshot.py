@@ -108,3 +108,13 @@ def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int |
     cols = [c for c in log.columns if c not in key and c != "epoch"]
     latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_v"))
     return latest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
+def commit_epoch(spark: SparkSession, root: str, epoch: int) -> None:
+    """Mark the folders of ``epoch`` as complete; readers that ask for committed epochs see them from now on."""
+    if epoch not in committed_epochs(spark, root):
+        _commit(spark, root, epoch)
+
+
+def committed_epochs(spark: SparkSession, root: str) -> list[int]:
+    return sorted(_numbers(spark, f"{root}/_commits", ""))

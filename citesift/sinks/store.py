@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citesift.operators.ivf import IvfIndex
 from citesift.operators.knn import knn_join
 from citesift.operators.lsh import knn_lsh
 from citesift.sinks.snapshot import read_snapshot, upsert, write_snapshot
@@ -41,10 +42,33 @@ class BucketStore(TableStore):
         return knn_lsh(queries, self.vectors(), k, query_keys=query_keys, corpus_key="id", **settings)
 
 
-STORES: dict[str, Callable[[SparkSession, str], TableStore]] = {"table": TableStore, "buckets": BucketStore}
+class ListStore:
+    """Vectors in inverted lists, searched approximately; the first upsert trains the lists and measures the probes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.index = IvfIndex(spark, root)
+
+    def upsert(self, rows: DataFrame) -> int:
+        if self.index.centres is None:
+            self.index.build(rows)
+            return 1
+        return self.index.upsert(rows)
+
+    def vectors(self) -> DataFrame:
+        return self.index.vectors()
+
+    def query(self, queries: DataFrame, k: int, *, query_keys: list[str], scope: str | None = None, **settings) -> DataFrame:
+        if scope is not None:
+            raise ValueError("the list store searches without a scope")
+        if self.index.probes is None:
+            self.index.tune(queries, k, query_keys=query_keys)
+        return self.index.search(queries, k, query_keys=query_keys, **settings)
+
+
+STORES: dict[str, Callable[[SparkSession, str], TableStore | ListStore]] = {"table": TableStore, "buckets": BucketStore, "lists": ListStore}
 
 
-def get_store(name: str, spark: SparkSession, root: str) -> TableStore:
+def get_store(name: str, spark: SparkSession, root: str) -> TableStore | ListStore:
     if name not in STORES:
         raise ValueError(f"unknown vector store {name!r}; known: {sorted(STORES)}")
     return STORES[name](spark, root)
