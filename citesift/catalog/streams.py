@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citesift.catalog import ORACLES, query
 from citesift.catalog.loop import EVENT_BUDGET
 from citesift.operators.knn import knn_join
-from citesift.streaming import jobs
+from citesift.streaming import jobs, keyed
 
 
 @query("stream_budget_counter", sql=ORACLES["budget_counter"])
@@ -41,3 +41,17 @@ def stream_reindex(spark, sf_dir):
     """STR-4: incremental indexing as documents arrive; the final manifest equals the batch digests."""
     manifest, _ = jobs.stream_reindex(spark, sf_dir)
     return manifest.select("policy_id", "digest")
+
+
+@query("stream_gate_keyed", sql=ORACLES["budget_gate"])
+def stream_gate_keyed(spark, sf_dir):
+    """STR-2 with the spend of each user in the state store, refusals in a sink of their own."""
+    return keyed.decisions(keyed.stream_gate_keyed(spark, sf_dir, budget=EVENT_BUDGET)).select(
+        "user_id", "event_id", "seq", "tokens_spent", "within_budget")
+
+
+@query("stream_gate_refused", sql=f"""SELECT user_id, event_id, seq, tokens_spent FROM ({ORACLES["budget_gate"]}) WHERE NOT within_budget""")
+def stream_gate_refused(spark, sf_dir):
+    """STR-2 / SNK-6: the dead-letter sink of the keyed gate."""
+    _, refused = keyed.stream_gate_keyed(spark, sf_dir, budget=EVENT_BUDGET)
+    return refused.select("user_id", "event_id", "seq", "tokens_spent")
