@@ -42,6 +42,11 @@ def _load_all() -> None:
         quality,
         streams,
         texts,
+        golden,
+        reindex,
+        lists,
+        run_report,
+        ledger,
     )
 
 
