@@ -261,7 +261,11 @@ def repeat_digests(docs: DataFrame, **settings) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with every text that has repeated windows cut to its kept words; other rows stay as they are."""
+    """``docs`` with every text that has repeated windows cut to its kept words; other rows stay as they are.
+
+    Nulls, repeated rows and empty tables are handled as :func:`repeat_digests` says; a text that is cut has its kept words
+    one space apart, a null text stays null.
+    """
     facts, changed = find_repeats(docs, text=text, key=key, **settings)
     copies = facts.where("copy").select("doc_id", "h1", F.lit("").alias("kept")).distinct()
     k, h, kept = fresh(docs, "k", "h", "kept")
