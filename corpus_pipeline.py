@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from citesift.llm.entropy_mix import apply_mix
 from citesift.llm.repeat_automata import remove_repeats
-from citesift.llm.shared import Tables, scan
+from citesift.llm.shared import Tables, fresh, scan
 from citesift.llm.suffix_pieces import encode
 from citesift.llm.toxicity import fit, toxicity_scores
 from citesift.llm.weighted_minhash import drop_near_texts
@@ -29,15 +29,19 @@ ORACLE_SQL: str | None = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7, all their columns as they came; null and empty texts score as texts without hits."""
     model = fit(docs.select("doc_id", "text"), scan(spark, sf_dir, "labels"))
-    return toxicity_scores(docs, model, score="__toxicity").where(F.col("__toxicity") < REJECT).drop("__toxicity")
+    score = fresh(docs, "toxicity")[0]
+    return toxicity_scores(docs, model, score=score).where(F.col(score) < REJECT).drop(score)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the smallest key first, nulls last; all documents without words stay."""
     return drop_near_texts(docs, similar=0.8, shingle=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that a smaller key holds too; null keys neither cut nor are cut."""
     kept = remove_repeats(docs, length=50)
     if "n_chars" not in kept.columns:
         return kept
@@ -46,10 +50,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """None, one or two copies of each document, so that each source meets its target; a null source is the last one."""
     return apply_mix(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts and whether decoding gives the text again; null and empty texts have no ids."""
     return encode(docs, keys=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
