@@ -28,10 +28,10 @@ LEAST = 10
 MOST = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 # a block's arrays take about forty times its bytes
-BLOCK = 1 << 20
+BLOCK = 512 << 10
 # bits of the table that says which phrases may be common enough: 16 MB at most
 TABLE_BITS = (16, 27)
-EMIT_ROWS = 1 << 17
+EMIT_ROWS = 1 << 15
 
 _U = np.uint64
 _BREAK = 0x0A
