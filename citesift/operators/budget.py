@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citesift.operators.prefix import prefix_within
+
 COST_PER_CALL = 300  # fixed value: flat spend per gate call
 DEFAULT_BUDGET = 2000  # fixed value: budget when the caller gives none
 
@@ -65,13 +67,14 @@ def sequential_gate(calls: DataFrame, claim_keys: list[str], order_cols: list[st
     Only the first ``max_calls_bound`` calls of a claim can matter, so ``row_number() <= bound`` is
     applied first: Spark turns it into a partial WindowGroupLimit that trims every partition before the
     shuffle, and a hot claim never moves more than ``bound`` rows per partition into its window.
-    ``max_calls`` overrides the bound when the caller already knows one (the loop's iteration cap).
+    ``max_calls`` overrides the bound when the caller already knows one (the loop's iteration cap).  Costs that may
+    be zero give no bound; then the running spend is a prefix sum over ranges, and no claim is gathered in one task.
     """
     bound = max_calls if max_calls is not None else max_calls_bound(calls, cost=cost, budget=budget)
+    if bound is None:
+        return _gate_by_prefix(calls, claim_keys, order_cols, cost=cost, budget=budget, prior=prior)
     w = Window.partitionBy(*claim_keys).orderBy(*order_cols)
-    seq = calls.withColumn("seq", F.row_number().over(w))
-    if bound is not None:
-        seq = seq.where(F.col("seq") <= bound)
+    seq = calls.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= bound)
     run = Window.partitionBy(*claim_keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*claim_keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     gated = (seq.withColumn("tokens_spent", (_col(prior) + F.sum(_col(cost)).over(run)).cast("bigint"))
@@ -80,6 +83,19 @@ def sequential_gate(calls: DataFrame, claim_keys: list[str], order_cols: list[st
     return gated.withColumn("_rb", refused_before).where(F.col("_rb") == 0).drop("_rb")
 
 
+def _gate_by_prefix(calls: DataFrame, claim_keys: list[str], order_cols: list[str], *, cost, budget, prior) -> DataFrame:
+    """The gate over any number of calls of a claim: places and spends from ranges, then each claim's first refusal."""
+    placed = prefix_within(calls, claim_keys, order_cols, _col(cost), seq="seq", total="tokens_spent")
+    spent = placed.withColumn("seq", F.col("seq").cast("int")).withColumn(
+        "tokens_spent", (_col(prior) + F.col("tokens_spent")).cast("bigint")).withColumn(
+        "within_budget", F.col("tokens_spent") <= F.coalesce(_col(budget), F.lit(DEFAULT_BUDGET)))
+    # one partially aggregated number a claim
+    names = [f"_k{i}" for i in range(len(claim_keys))]
+    first = spent.where(~F.col("within_budget")).groupBy(*[F.col(k).alias(n) for k, n in zip(claim_keys, names)]).agg(F.min("seq").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(claim_keys, names)]
+    return spent.join(first, same, "left").where(F.col("_first").isNull() | (F.col("seq") <= F.col("_first"))).drop("_first", *names)
+
+
 def gate_outcome(gated: DataFrame, claim_keys: list[str]) -> DataFrame:
     """Per claim: calls made, final spend, and whether (and where) the claim was refused."""
     return (gated.groupBy(*claim_keys)
