@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from citesift.functions.models import embed
 from citesift.operators.ordinal import ordinal_within
 from citesift.session import cut_lineage
-from citesift.sinks.snapshot import current_snapshot, read_latest, read_snapshot, write_epoch, write_snapshot
+from citesift.sinks.snapshot import current_snapshot, fold_log, read_latest, read_snapshot, write_epoch, write_snapshot
 
 # fixed values: a row's SHA-256 enters the sums as 8 slices of 7 hex digits (28 bits each)
 SLICES, SLICE_HEX = 8, 7
@@ -71,6 +71,11 @@ class PolicyIndex:
         """``id, policy_id, text_sha, embedding``; rows of dropped clauses stay, as nothing is ever deleted."""
         return read_latest(self.spark, f"{self.root}/vectors", ["id"])
 
+    def fold(self) -> None:
+        """Fold the manifest's and the vectors' runs, but the last, into one table each."""
+        fold_log(self.spark, f"{self.root}/manifest", ["policy_id"])
+        fold_log(self.spark, f"{self.root}/vectors", ["id"])
+
     def run(self, path: str) -> dict[str, int]:
         """Bring manifest and vectors up to the files under ``path``; the run's counts.
 

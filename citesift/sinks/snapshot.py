@@ -92,24 +92,63 @@ def write_epoch(df: DataFrame, root: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
 
+def _folded(spark: SparkSession, root: str, before: int | None) -> int | None:
+    """The newest fold of a log that holds no epoch from ``before`` on."""
+    done = _numbers(spark, f"{root}.folds/_commits", "")
+    return max((n for n in done if before is None or n < before), default=None)
+
+
 def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None) -> DataFrame | None:
     """The current table of an epoch log: per key, the row of the latest epoch (None if never written).
 
-    ``before`` reads the table as it was before that epoch (partition pruning on the folder name), so a
-    replayed micro-batch sees the same state as its first attempt did.  ``max_by`` is partially
-    aggregated, so a key written in many epochs sends one row per partition.
+    ``before`` reads the table as it was before that epoch, so a replayed micro-batch sees the same state as its first
+    attempt did.  Epochs that a fold holds are read from the fold.  ``max_by`` is partially aggregated, so a key
+    written in many epochs sends one row per partition.
     """
-    fs, path, _ = _fs(spark, root)
-    if not fs.exists(path):
-        return None
-    log = spark.read.parquet(root)
-    if before is not None:
-        log = log.where(F.col("epoch") < before)
+    fold = _folded(spark, root, before)
+    epochs = [n for n in _numbers(spark, root, "epoch=") if (before is None or n < before) and (fold is None or n > fold)]
+    parts = []
+    if epochs:
+        parts.append(spark.read.option("basePath", root).parquet(*[f"{root}/epoch={n}" for n in epochs]).withColumn("epoch", F.col("epoch").cast("bigint")))
+    if fold is not None:
+        parts.append(spark.read.parquet(f"{root}.folds/upto={fold}").withColumn("epoch", F.lit(fold).cast("bigint")))
+    if not parts:
+        return None if before is None else _nothing_before(spark, root)
+    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     cols = [c for c in log.columns if c not in key and c != "epoch"]
     latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_v"))
     return latest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def _nothing_before(spark: SparkSession, root: str) -> DataFrame | None:
+    """An empty table with the log's columns if the log has later epochs, else None."""
+    later = _numbers(spark, root, "epoch=")
+    return spark.read.parquet(f"{root}/epoch={min(later)}").limit(0) if later else None
+
+
+def fold_log(spark: SparkSession, root: str, key: list[str], *, keep: int = 1) -> int | None:
+    """Fold all epochs of a log but the newest ``keep`` into one table, so reading costs the same however old the log is.
+
+    The fold is written beside the log and counts once its marker is there; readers go on meanwhile.  The newest ``keep``
+    epochs stay as they are, so the last ones can be replayed.  Folders of epochs that the fold before this one holds are
+    deleted: nobody who started after that fold reads them.  Returns the last epoch folded, None if there was none.
+    """
+    epochs = sorted(_numbers(spark, root, "epoch="))[:-keep] if keep else sorted(_numbers(spark, root, "epoch="))
+    last = _folded(spark, root, None)
+    if not epochs or (last is not None and epochs[-1] <= last):
+        return last
+    upto = epochs[-1]
+    table = read_latest(spark, root, key, before=upto + 1)
+    table.write.mode("overwrite").parquet(f"{root}.folds/upto={upto}")
+    _commit(spark, f"{root}.folds", upto)
+    if last is not None:
+        fs, _, jvm = _fs(spark, root)
+        for n in epochs:
+            if n <= last:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/epoch={n}"), True)
+    return upto
+
+
 def commit_epoch(spark: SparkSession, root: str, epoch: int) -> None:
     """Mark the folders of ``epoch`` as complete; readers that ask for committed epochs see them from now on."""
     if epoch not in committed_epochs(spark, root):

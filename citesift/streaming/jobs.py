@@ -4,7 +4,8 @@ All four read files with ``readStream`` and keep their results through ``foreach
 collected on the driver.  Progress and results live in a folder that the caller names (``root``); called again
 with it, a query goes on where it stopped.  Results that are a keyed
 table (counter, claim outcomes, manifest, vectors) go to an epoch log: each micro-batch writes only its own rows to its
-epoch's folder, and the table is the latest row per key; nothing accumulated is rewritten per batch.  Run with ``trigger(availableNow=True)`` the final tables equal the batch
+epoch's folder, and the table is the latest row per key; nothing accumulated is rewritten per batch, and every
+``FOLD_EVERY`` batches old epochs are folded into one table.  Run with ``trigger(availableNow=True)`` the final tables equal the batch
 jobs over the same input.
 """
 
@@ -19,7 +20,7 @@ from citesift.plans import agentic
 from citesift.plans import claims as cl
 from citesift.plans import corpus as cp
 from citesift.session import cut_lineage, work_dir
-from citesift.sinks.snapshot import read_latest, write_epoch
+from citesift.sinks.snapshot import fold_log, read_latest, write_epoch
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
                  "props string")
@@ -27,6 +28,15 @@ EMB_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 DOCS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+# micro-batches after which a log is folded, so that reading it does not grow with its age
+FOLD_EVERY = 16
+
+
+def _fold(spark: SparkSession, root: str, key: list[str], epoch: int) -> None:
+    if epoch % FOLD_EVERY == FOLD_EVERY - 1:
+        fold_log(spark, root, key)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """A file stream over one table inside ``sf_dir``: ``<name>.parquet`` and any later ``<name>-*.parquet``
     files, taken in arrival order."""
@@ -63,6 +73,7 @@ def stream_spend_counter(spark: SparkSession, sf_dir: str, *, root: str | None =
         # update mode: each batch carries the new totals of only the keys it touched; they are appended as
         # this epoch's folder, and readers take each key's latest total
         write_epoch(batch, f"{root}/totals", epoch)
+        _fold(spark, f"{root}/totals", ["user_id"], epoch)
 
     _run(counts, sink, root, "update")
     return read_latest(spark, f"{root}/totals", ["user_id"])
@@ -97,6 +108,7 @@ def stream_gate(spark: SparkSession, sf_dir: str, *, budget: int, root: str | No
                           F.max(~F.col("within_budget")).alias("refused")))
         # only the users this batch touched; a refused user never reappears, so their last row stays refused
         write_epoch(new_state, state_root, epoch)
+        _fold(spark, state_root, ["user_id"], epoch)
 
     _run(ev, per_batch, root)
     return spark.read.parquet(out_root).drop("epoch")
@@ -109,6 +121,7 @@ def _known(spark: SparkSession, log: str, batch: DataFrame, key: list[str], unit
     soon as its last row is there.
     """
     write_epoch(batch, log, epoch)
+    _fold(spark, log, key, epoch)
     batch = spark.read.parquet(f"{log}/epoch={epoch}")
     before = read_latest(spark, log, key, before=epoch)
     if before is None:
@@ -135,6 +148,7 @@ def stream_claim_intake(spark: SparkSession, sf_dir: str, knn, *, root: str | No
         hits = knn(q, corpus)
         outcomes, _, _ = agentic.run_loop(q.select("claim_id", "iteration"), hits, cl.claims(known))
         write_epoch(outcomes, f"{root}/outcomes", epoch)
+        _fold(spark, f"{root}/outcomes", ["claim_id"], epoch)
 
     _run(emb, per_batch, root)
     return read_latest(spark, f"{root}/outcomes", ["claim_id"])
@@ -169,6 +183,8 @@ def stream_reindex(spark: SparkSession, sf_dir: str, *, root: str | None = None,
         # vectors first, manifest after (a crash between the two only re-embeds, never skips)
         write_epoch(rows.drop("text").join(vectors, "id", "left"), vec_root, epoch)
         write_epoch(digests, man_root, epoch)
+        _fold(spark, vec_root, ["id"], epoch)
+        _fold(spark, man_root, ["policy_id"], epoch)
 
     _run(docs, per_batch, root)
     return read_latest(spark, man_root, ["policy_id"]), read_latest(spark, vec_root, ["id"])

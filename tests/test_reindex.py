@@ -48,6 +48,7 @@ def test_runs_follow_added_changed_and_removed_files(spark, tmp_path):
     # a file goes, a policy goes with it, another one comes
     c = step({"a": None, "c": [(9, "green gear")] * 3})
     assert (c["policies_checked"], c["policies_reembedded"], c["chunks_embedded"]) == (3, 1, 3)
+    index.fold()
     c = step({"a": [(2, "blue ring")]})
     assert (c["policies_checked"], c["policies_reembedded"]) == (4, 1)
     got = {r.id: r.text_sha for r in index.vectors().collect()}
