@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citesift.catalog import query
-from citesift.functions.text import embed_hashed, last_key_part, normalised_buckets, token_buckets
+from citesift.functions.text import dense_vector, last_key_part, normalised_buckets, token_buckets
 from citesift.plans import corpus as cp
-from citesift.session import work_dir
+from citesift.session import cut_lineage, work_dir
 from citesift.sinks.snapshot import read_snapshot, upsert, write_snapshot
 from citesift.sources.nested import read_policies_json, write_policies_json
 from citesift.sources.tables import read_table
@@ -179,10 +179,11 @@ def index_corpus(spark, sf_dir):
     dc = cp.document_clauses(docs)
     chunks = cp.chunk_by_clause(cp.nest_policies(dc))
     keyed = chunks.select("id", F.col("metadata.policy_id").alias("policy_id"), "text")
-    buckets = token_buckets(keyed, "id", "text")
+    buckets = cut_lineage(token_buckets(keyed, "id", "text"))
     stats = buckets.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("nnz"),
                                       F.round(F.sqrt(F.sum(F.col("tf") * F.col("tf"))), 6).alias("tf_norm"))
-    vectors = embed_hashed(keyed, "id", "text")
+    # the vectors come from the same counts: texts are split into tokens once
+    vectors = dense_vector(normalised_buckets(buckets, "id"), "id")
     table = keyed.select("id", "policy_id").join(vectors, "id", "left").join(stats, "id", "left")
     root = work_dir(spark, "vectors")
     write_snapshot(upsert(None, table, ["id"]), root)

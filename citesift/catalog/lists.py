@@ -50,7 +50,7 @@ def knn_ivf_recall(spark, sf_dir):
     exact = knn_join(asked, corpus, K_LOOP, query_keys=KEYS, corpus_key="id")
     got = recall(index.search(asked, K_LOOP, query_keys=KEYS), exact, KEYS)
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).select(
-        "n_queries", F.lit(index.vectors().count()).alias("n_rows"), F.lit(RECALL_FLOOR).alias("floor"), F.lit(got >= RECALL_FLOOR).alias("passed"))
+        "n_queries", F.lit(index.vectors().count()).cast("bigint").alias("n_rows"), F.lit(RECALL_FLOOR).alias("floor"), F.lit(got >= RECALL_FLOOR).alias("passed"))
 
 
 @query("knn_ivf_all_lists", sql="""WITH q AS (SELECT vec_id - vec_id % 25 AS claim_id, CAST(vec_id % 25 + 1 AS INTEGER) AS iteration, embedding::DOUBLE[] AS v

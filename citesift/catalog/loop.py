@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citesift.catalog import query
-from citesift.catalog.retrieval import K_SINGLE, WITH_KNN5, loop_hits
+from citesift.catalog.retrieval import K_LOOP, K_SINGLE, WITH_KNN5, loop_hits
 from citesift.operators import evaluation as ev
 from citesift.operators.budget import sequential_gate, spend_counter
 from citesift.operators.knn import knn_join
 from citesift.plans import agentic
 from citesift.plans import claims as cl
+from citesift.session import cut_lineage
 from citesift.sources.tables import read_table
 
 EVENT_BUDGET = 20000  # budget for the events-as-gate-calls fixture
@@ -109,11 +110,14 @@ def single_outcomes(spark, sf_dir):
 
 
 def scored_modes(spark, sf_dir):
-    emb = read_table(spark, sf_dir, "embeddings")
+    emb, q, _ = _tables(spark, sf_dir)
     gold = cl.golden(emb)
-    loop, _, _ = loop_outcomes(spark, sf_dir)
+    # one search for both modes: the single shot's three are the head of the first iteration's list
+    hits = cut_lineage(loop_hits(spark, sf_dir))
+    loop, _, _ = agentic.run_loop(q.select("claim_id", "iteration"), hits, cl.claims(emb))
+    single = agentic.single_shot(hits.where((F.col("iteration") == 1) & (F.col("rank") <= K_SINGLE)))
     a = ev.precision(loop, gold).withColumn("mode", F.lit("agentic"))
-    s = ev.precision(single_outcomes(spark, sf_dir), gold).withColumn("mode", F.lit("single-shot"))
+    s = ev.precision(single, gold).withColumn("mode", F.lit("single-shot"))
     return a.unionByName(s)
 
 
@@ -245,9 +249,9 @@ SELECT count(*) AS n_claims, CAST(count_if(found) AS BIGINT) AS n_found, round(c
 FROM hit""")
 def retrieval_gate(spark, sf_dir):
     """AGG-14: share of claims whose true clause is in the top 5 of the first search; pass at >= 0.8."""
-    emb = read_table(spark, sf_dir, "embeddings")
+    emb, q, c = _tables(spark, sf_dir)
     gold = cl.golden(emb)
-    first = loop_hits(spark, sf_dir).where(F.col("iteration") == 1).select("claim_id", "id")
+    first = knn_join(q.where(F.col("iteration") == 1), c, K_LOOP, query_keys=["claim_id"], corpus_key="id").select("claim_id", "id")
     per = (gold.join(first, "claim_id", "left")
            .groupBy("claim_id")
            .agg(F.coalesce(F.max(F.array_contains("ground_truth", F.col("id"))), F.lit(False)).alias("found")))

@@ -11,8 +11,9 @@ Nothing is cross-joined row by row, no group is larger than one block on each si
 
 Block sizes set the shuffle volume: every query row is copied once per corpus block and every corpus row
 once per query block, i.e. ``Q * C / bc + C * Q / bq`` vector copies for block sizes ``bc`` and ``bq``.
-It falls linearly as the cells grow, so the defaults are large (64k corpus + 16k query rows of 64 float
-dims is ~25 MB of Arrow input per cell; the kernel bounds its own working matrix).  Query tables are
+It falls linearly as the cells grow, so the defaults are large: blocks are counted in bytes (``BLOCK_BYTES``), which is
+64k corpus + 16k query rows at 64 dims (~25 MB of Arrow input per cell) and 2.7k + 0.7k rows at 1,536; the kernel
+bounds its own working matrix.  Query tables are
 usually far smaller than the corpus: one that fits a single query block is never split, and then only
 the queries are copied.  With 1M queries over a 1B-row corpus that is about 7.7e10 copies, where 8k x 2k
 blocks would need 6.1e11.
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2sq", "cosine")
+# bytes of one block's corpus vectors as doubles (a block of queries is a quarter of its rows)
+BLOCK_BYTES = 32 << 20
 
 
 def _field_ddl(df: DataFrame, names: list[str]) -> list[str]:
@@ -91,9 +94,15 @@ def _direct(q: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.einsum("ij,ij->i", diff, diff)
 
 
+def _rows_of_block(corpus: DataFrame, vector_col: str) -> int:
+    """Vectors of ``corpus`` that take ``BLOCK_BYTES`` as doubles; one row is read for their width."""
+    row = corpus.where(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("n")).first()
+    return max(1, BLOCK_BYTES // (8 * max(1, row["n"]))) if row is not None else 1
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[str],
              corpus_key: str = "id", vector_col: str = "embedding", scope_col: str | None = None,
-             metric: str = "l2sq", corpus_block_rows: int = 65536, query_block_rows: int = 16384,
+             metric: str = "l2sq", corpus_block_rows: int | None = None, query_block_rows: int | None = None,
              rank_col: str = "rank", distance_col: str = "distance", corpus_rows: int | None = None,
              query_rows: int | None = None, round_digits: int | None = None) -> DataFrame:
     """Exact top-k corpus rows per query row, distances ascending, ties broken by corpus key.
@@ -107,6 +116,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_keys: list[
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if corpus_block_rows is None or query_block_rows is None:
+        rows = _rows_of_block(corpus, vector_col)
+        corpus_block_rows, query_block_rows = corpus_block_rows or rows, query_block_rows or max(1, rows // 4)
     q = queries.where(F.col(vector_col).isNotNull())
     c = corpus.where(F.col(vector_col).isNotNull())
     passthrough: list[str] = []
