@@ -38,10 +38,15 @@ def _fold(spark: SparkSession, root: str, key: list[str], epoch: int) -> None:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one table inside ``sf_dir``: ``<name>.parquet`` and any later ``<name>-*.parquet``
-    files, taken in arrival order."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}{{,-*}}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """A file stream over one table inside ``sf_dir``: ``<name>.parquet`` and any later ``<name>-*.parquet``, each a
+    file or a folder of files, taken in arrival order."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(_arrived(sf_dir, name)))
+
+
+def _arrived(sf_dir: str, name: str) -> str:
+    """The table's files and folders as one path: a filter on names would miss the files inside a folder."""
+    return f"{sf_dir.rstrip('/')}/{name}{{,-*}}.parquet"
 
 
 def _run(df: DataFrame, fn, root: str, mode: str = "append") -> None:
@@ -137,7 +142,7 @@ def stream_claim_intake(spark: SparkSession, sf_dir: str, knn, *, root: str | No
     files is run again over all of them.  Outcomes are an epoch log read as the latest row per claim, so a
     replayed micro-batch does not duplicate an answer."""
     root = root or work_dir(spark, "stream-intake")
-    corpus = cl.corpus_vectors(spark.read.schema(EMB_SCHEMA).option("pathGlobFilter", "embeddings{,-*}.parquet").parquet(sf_dir))
+    corpus = cl.corpus_vectors(spark.read.schema(EMB_SCHEMA).parquet(_arrived(sf_dir, "embeddings")))
     emb = table_stream(spark, sf_dir, "embeddings", EMB_SCHEMA)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:

@@ -158,3 +158,17 @@ def test_reindex_joins_a_policy_split_over_files_and_embeds(spark, tmp_path):
     jobs.stream_reindex(spark, str(source), root=root)
     assert spark.read.parquet(f"{root}/vectors").count() >= before
     assert sorted(os.listdir(f"{root}/vectors")) == sorted(f for f in os.listdir(f"{root}/vectors"))
+
+
+def test_tables_that_are_folders_of_files_are_read_whole(spark, tmp_path):
+    from citesift.catalog.streams import stream_claim_intake, stream_reindex
+
+    for name, key in (("embeddings", "vec_id"), ("documents", "doc_id")):
+        t = pq.read_table(f"{SF_SMALL}/{name}.parquet").sort_by(key)
+        (tmp_path / f"{name}.parquet").mkdir()
+        half = t.num_rows // 2
+        for i, part in enumerate((t.slice(0, half), t.slice(half))):
+            pq.write_table(part, tmp_path / f"{name}.parquet" / f"part-{i}.parquet")
+    for q in (stream_claim_intake, stream_reindex):
+        got, want = sorted(q(spark, str(tmp_path)).collect()), sorted(q(spark, SF_SMALL).collect())
+        assert got and got == want
