@@ -70,5 +70,7 @@ FROM chunks JOIN v ON v.id = chunks.id""")
 def reindex_vectors(spark, sf_dir):
     """SNK-3 / JOB-2: the stored vector table after three runs, embeddings included, equals one made from all rows."""
     v = indexed(spark, sf_dir)[0].vectors()
-    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string"))
+    # most weights are 0 and need no decimal arithmetic
+    rounded = F.transform("embedding", lambda x: F.when(x == 0, "0").otherwise(
+        F.round(x.cast("double") * 1000000).cast("bigint").cast("string")))
     return v.select("id", "policy_id", "text_sha", F.sha2(F.array_join(rounded, ","), 256).alias("vector_sha"))

@@ -15,7 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,10 +136,17 @@ def embed(df: DataFrame, key: str, text: str, *, model: str = "hashed", dim: int
     """(key, embedding array<float>) with the named model; ``hashed`` is the built-in column model."""
     if model == "hashed":
         return tx.embed_hashed(df, key, text, dim)
-    if model not in EMBEDDERS:
+    return df.select(key, encoder(df.sparkSession, text, model).alias("embedding"))
+
+
+def encoder(spark: SparkSession, text: str, model: str = "hashed") -> Column:
+    """The vector of a row's own text with the named model; ``hashed`` gives null for a text without tokens."""
+    if model != "hashed" and model not in EMBEDDERS:
         raise ValueError(f"unknown embedding model {model!r}; known: {sorted(['hashed', *EMBEDDERS])}")
+    ship_package(spark)
+    if model == "hashed":
+        return tx.hashed_vector(text)
     factory = EMBEDDERS[model]
-    ship_package(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -147,4 +154,4 @@ def embed(df: DataFrame, key: str, text: str, *, model: str = "hashed", dim: int
         for s in texts:
             yield pd.Series(list(enc(s.fillna("").tolist())))
 
-    return df.select(key, encode(F.col(text)).alias("embedding"))
+    return encode(F.col(text))

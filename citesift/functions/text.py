@@ -3,6 +3,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +62,36 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> Dat
     return dense_vector(normalised_buckets(token_buckets(df, key, text, dim), key), key, dim)
 
 
+def _vectors_of_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The vector of each row's tokens; null for a row that has none."""
+    for tokens in batches:
+        # a bounded number of rows at a time, as each has a dense row of counts
+        parts = [_dense(tokens.slice(a, 8192)) for a in range(0, len(tokens), 8192)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+
+def _dense(tokens: pa.Array) -> pa.Array:
+    row, words = np.asarray(pc.list_parent_indices(tokens)), pc.list_flatten(tokens)
+    some = np.asarray(pc.not_equal(words, "").fill_null(False))
+    coded = words.dictionary_encode()
+    bucket = np.array([int(hashlib.md5((w or "").encode()).hexdigest()[:8], 16) % HASH_DIM for w in coded.dictionary.to_pylist()], np.int64)
+    code = np.asarray(coded.indices.fill_null(0))[some]
+    tf = np.bincount(row[some] * HASH_DIM + bucket[code], minlength=len(tokens) * HASH_DIM).reshape(-1, HASH_DIM) if len(code) else np.zeros((len(tokens), HASH_DIM))
+    square = (tf * tf).sum(axis=1)
+    weight = (tf[square > 0] / np.sqrt(square[square > 0])[:, None]).astype(np.float32)
+    stops = np.concatenate([[0], np.cumsum(square > 0) * HASH_DIM]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(weight.ravel()), mask=pa.array(square == 0))
+
+
+def hashed_vector(text) -> Column:
+    """UDF-1 default model of one text within its row: the same vector as :func:`embed_hashed`, null without tokens.
+
+    Nothing is shuffled, so this is the form for many short texts whose keys are known to be unique.
+    """
+    dense = F.arrow_udf(_vectors_of_tokens, "array<float>")
+    return dense(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), TOKEN_SPLIT))
+
+
 # ---- digests and keys ------------------------------------------------------------------------------
 def sha256(c) -> Column:
     return F.sha2(_c(c), 256)

@@ -4,8 +4,9 @@ Policies arrive as rows ``policy_id, text`` in files; a policy's rows may be spr
 tables are kept under one folder:
 
 * ``files``: the files read so far, with size, modification time and the run that read them;
-* ``parts``: per run, file and policy the row count and the summed hash slices of the rows (a multiset hash is additive);
-* ``manifest``: per policy the same sums over all its files, and the digest;
+* ``parts``: per run, the file, policy, count and hash slices of each row (a multiset hash is additive, so the sums of a
+  file can be taken off later);
+* ``manifest``: per policy the sums of these over all its files, and the digest;
 * ``vectors``: ``id, policy_id, text_sha, embedding``.
 
 A run lists the files and reads only those that are new or changed.  What they hold is added to the manifest's sums, what
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.functions.models import embed
+from citesift.functions.models import encoder
 from citesift.operators.ordinal import ordinal_within
 from citesift.session import cut_lineage
 from citesift.sinks.snapshot import current_snapshot, fold_log, read_latest, read_snapshot, write_epoch, write_snapshot
@@ -43,11 +44,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(_same_path("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def part_sums(rows: DataFrame) -> DataFrame:
-    """Per file and policy of ``rows (path, policy_id, text)`` the row count and slice sums; null texts count as empty."""
+def row_slices(rows: DataFrame) -> DataFrame:
+    """A count of 1 and the hash slices of each of ``rows (path, policy_id, text)``; null texts count as empty."""
     h = rows.select("path", "policy_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    cut = [F.sum(F.conv(F.substring("h", 1 + SLICE_HEX * i, SLICE_HEX), 16, 10).cast("bigint")).alias(f"s{i}") for i in range(SLICES)]
-    return h.groupBy("path", "policy_id").agg(F.count(F.lit(1)).alias("n"), *cut)
+    cut = [F.conv(F.substring("h", 1 + SLICE_HEX * i, SLICE_HEX), 16, 10).cast("int").alias(f"s{i}") for i in range(SLICES)]
+    return h.select("path", "policy_id", F.lit(1).alias("n"), *cut)
+
+
+def part_sums(rows: DataFrame) -> DataFrame:
+    """Per file and policy of ``rows (path, policy_id, text)`` the row count and slice sums."""
+    return row_slices(rows).groupBy("path", "policy_id").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def digest_of_sums() -> Column:
@@ -62,14 +68,14 @@ class PolicyIndex:
 
     def manifest(self) -> DataFrame:
         """``policy_id, n, digest`` of the policies that have rows."""
-        table = read_latest(self.spark, f"{self.root}/manifest", ["policy_id"])
+        table = read_latest(self.spark, f"{self.root}/manifest", ["policy_id"], unique=True)
         if table is None:
             return self.spark.createDataFrame([], "policy_id bigint, n bigint, digest string")
         return table.where("n > 0").select("policy_id", "n", "digest")
 
     def vectors(self) -> DataFrame:
         """``id, policy_id, text_sha, embedding``; rows of dropped clauses stay, as nothing is ever deleted."""
-        return read_latest(self.spark, f"{self.root}/vectors", ["id"])
+        return read_latest(self.spark, f"{self.root}/vectors", ["id"], unique=True)
 
     def fold(self) -> None:
         """Fold the manifest's and the vectors' runs, but the last, into one table each."""
@@ -95,7 +101,7 @@ class PolicyIndex:
         counts = {"files_read": len(paths), "rows_hashed": 0, "policies_reembedded": 0, "chunks_embedded": 0}
         if paths or stale.limit(1).count():
             moved = self._move(run, paths, stale, counts)
-            self._embed(run, path, moved, left, counts)
+            self._embed(run, paths, moved, left, counts)
             files = left.unionByName(fresh.withColumn("run", F.lit(run)))
             write_snapshot(files, f"{self.root}/files")
         counts["policies_checked"] = self.manifest().count()
@@ -107,41 +113,46 @@ class PolicyIndex:
         if paths:
             seen = Observation()
             rows = spark.read.parquet(*paths).select(_same_path("_metadata.file_path").alias("path"), "policy_id", "text")
-            write_epoch(part_sums(rows.observe(seen, F.count(F.lit(1)).alias("rows"))), f"{self.root}/parts", run)
+            write_epoch(row_slices(rows.observe(seen, F.count(F.lit(1)).alias("rows"))), f"{self.root}/parts", run)
             counts["rows_hashed"] = seen.get["rows"]
             changes.append(spark.read.parquet(f"{self.root}/parts/epoch={run}").select("policy_id", *SUMS))
         if run > 1:
             old = spark.read.parquet(f"{self.root}/parts").where(F.col("epoch") < run)
-            gone = old.join(stale.withColumnRenamed("run", "epoch"), ["path", "epoch"], "left_semi")
+            # lists of files are small: what they are held against stays where it is
+            gone = old.join(F.broadcast(stale.withColumnRenamed("run", "epoch")), ["path", "epoch"], "left_semi")
             changes.append(gone.select("policy_id", *[(-F.col(c)).alias(c) for c in SUMS]))
         delta = reduce(DataFrame.unionByName, changes).groupBy("policy_id").agg(*[F.sum(c).alias(f"d_{c}") for c in SUMS])
-        delta = cut_lineage(delta.where(" or ".join(f"d_{c} <> 0" for c in SUMS)))
-        before = read_latest(spark, f"{self.root}/manifest", ["policy_id"], before=run) if run > 1 else None
+        delta = delta.where(" or ".join(f"d_{c} <> 0" for c in SUMS))
+        before = read_latest(spark, f"{self.root}/manifest", ["policy_id"], before=run, unique=True) if run > 1 else None
         if before is None:
             summed = delta.select("policy_id", *[F.col(f"d_{c}").alias(c) for c in SUMS])
         else:
-            summed = delta.join(before, "policy_id", "left").select(
+            summed = delta.join(before.select("policy_id", *SUMS), "policy_id", "left").select(
                 "policy_id", *[(F.col(f"d_{c}") + F.coalesce(c, F.lit(0))).alias(c) for c in SUMS])
         # a policy without rows stays in the log with a count of 0: that is how later runs know it went
         write_epoch(summed.withColumn("digest", F.when(F.col("n") > 0, digest_of_sums())), f"{self.root}/manifest", run)
-        return spark.read.parquet(f"{self.root}/manifest/epoch={run}").where("n > 0").select("policy_id")
-
-    def _embed(self, run: int, path: str, moved: DataFrame, left: DataFrame, counts: dict) -> None:
-        """Embed the rows of the policies that moved, from the files that hold them."""
-        parts = self.spark.read.parquet(f"{self.root}/parts").join(moved, "policy_id", "left_semi")
-        held = parts.join(left.withColumnRenamed("run", "epoch"), ["path", "epoch"], "left_semi").select("path").unionByName(
-            parts.where(F.col("epoch") == run).select("path")).distinct()
-        paths = [r["path"] for r in held.collect()]
+        return spark.read.parquet(f"{self.root}/manifest/epoch={run}").where("n > 0").select("policy_id", "n")
+
+    def _embed(self, run: int, paths: list[str], moved: DataFrame, left: DataFrame, counts: dict) -> None:
+        """Embed the rows of the policies that moved (``policy_id``, and ``n`` rows each), from the files that hold them."""
+        ids = moved.select("policy_id")
+        if run > 1:
+            parts = self.spark.read.parquet(f"{self.root}/parts")
+            held = F.broadcast(left.withColumnRenamed("run", "epoch"))
+            held = parts.join(held, ["path", "epoch"], "left_semi").unionByName(parts.where(F.col("epoch") == run))
+            paths = [r["path"] for r in held.join(ids, "policy_id", "left_semi").select("path").distinct().collect()]
         if not paths:
             return
-        rows = self.spark.read.parquet(*paths).select("policy_id", F.coalesce("text", F.lit("")).alias("text")).join(moved, "policy_id", "left_semi")
-        policies, chunks = Observation(), Observation()
-        moved.observe(policies, F.count(F.lit(1)).alias("policies")).write.format("noop").mode("overwrite").save()
-        placed = ordinal_within(rows, ["policy_id"], ["text"], name="pos")
-        keyed = cut_lineage(placed.select(F.concat_ws("-", "policy_id", "pos").alias("id"), "policy_id", F.sha2("text", 256).alias("text_sha"), "text"))
-        vectors = keyed.drop("text").join(embed(keyed, "id", "text", model=self.model), "id", "left")
+        rows = self.spark.read.parquet(*paths).select("policy_id", F.coalesce("text", F.lit("")).alias("text"))
+        # the first run moves every policy
+        rows = rows.join(ids, "policy_id", "left_semi") if run > 1 else rows.where(F.col("policy_id").isNotNull())
+        found, chunks = moved.agg(F.count(F.lit(1)).alias("policies"), F.max("n").alias("most")).first(), Observation()
+        placed = ordinal_within(rows, ["policy_id"], ["text"], name="pos", group_bound=found["most"] or 0)
+        # ids are unique, so a row's vector is made where the row is
+        vectors = placed.select(F.concat_ws("-", "policy_id", "pos").alias("id"), "policy_id", F.sha2("text", 256).alias("text_sha"),
+                                encoder(self.spark, "text", self.model).alias("embedding"))
         write_epoch(vectors.observe(chunks, F.count(F.lit(1)).alias("chunks")), f"{self.root}/vectors", run)
-        counts["policies_reembedded"], counts["chunks_embedded"] = policies.get["policies"], chunks.get["chunks"]
+        counts["policies_reembedded"], counts["chunks_embedded"] = found["policies"], chunks.get["chunks"]
 
 
 # ---- orders and their lines as policies that arrive over time --------------------------------------------------
@@ -171,5 +182,6 @@ def land(rows: DataFrame, path: str, *, until=None, since=None) -> None:
         rows = rows.where(F.col("at") <= F.lit(until))
     if since is not None:
         rows = rows.where(month >= F.date_format(F.lit(since), "yyyy-MM"))
-    rows.select("policy_id", "text", month.alias("month")).repartition("month").write.mode("overwrite").option(
+    # a month goes into as many files as its size asks for
+    rows.select("policy_id", "text", month.alias("month")).hint("rebalance", "month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

@@ -7,6 +7,8 @@ leaves the previous snapshot live and intact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,15 +100,21 @@ def _folded(spark: SparkSession, root: str, before: int | None) -> int | None:
     return max((n for n in done if before is None or n < before), default=None)
 
 
-def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None) -> DataFrame | None:
+def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None, unique: bool = False) -> DataFrame | None:
     """The current table of an epoch log: per key, the row of the latest epoch (None if never written).
 
     ``before`` reads the table as it was before that epoch, so a replayed micro-batch sees the same state as its first
     attempt did.  Epochs that a fold holds are read from the fold.  ``max_by`` is partially aggregated, so a key
     written in many epochs sends one row per partition.
+
+    ``unique`` says that no epoch holds a key twice: the oldest rows, usually nearly all, are then not grouped but only
+    held against the keys of the epochs after them, and columns that are not asked for are not read.
     """
     fold = _folded(spark, root, before)
-    epochs = [n for n in _numbers(spark, root, "epoch=") if (before is None or n < before) and (fold is None or n > fold)]
+    epochs = sorted(n for n in _numbers(spark, root, "epoch=") if (before is None or n < before) and (fold is None or n > fold))
+    if unique and (epochs or fold is not None):
+        oldest = f"{root}.folds/upto={fold}" if fold is not None else f"{root}/epoch={epochs.pop(0)}"
+        return _overlaid(spark.read.parquet(oldest), [spark.read.parquet(f"{root}/epoch={n}") for n in epochs], key)
     parts = []
     if epochs:
         parts.append(spark.read.option("basePath", root).parquet(*[f"{root}/epoch={n}" for n in epochs]).withColumn("epoch", F.col("epoch").cast("bigint")))
@@ -120,6 +128,19 @@ def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int |
     return latest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def _overlaid(oldest: DataFrame, later: list[DataFrame], key: list[str]) -> DataFrame:
+    """``oldest`` with the rows of ``later`` (in order of time) put over those of equal key; no table holds a key twice."""
+    if not later:
+        return oldest
+    cols = [c for c in oldest.columns if c not in key]
+    news = later[0].select(*key, *cols)
+    if len(later) > 1:
+        log = reduce(DataFrame.unionByName, [t.withColumn("epoch", F.lit(i)) for i, t in enumerate(later)])
+        news = log.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_v")).select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+    keys = reduce(DataFrame.unionByName, [t.select(*key) for t in later])
+    return oldest.select(*key, *cols).join(keys, key, "left_anti").unionByName(news)
+
+
 def _nothing_before(spark: SparkSession, root: str) -> DataFrame | None:
     """An empty table with the log's columns if the log has later epochs, else None."""
     later = _numbers(spark, root, "epoch=")

@@ -90,3 +90,25 @@ def test_landing_rewrites_only_the_months_from_a_date_on(spark, tmp_path):
     kept = [p for p in before if after.get(p) == before[p]]
     assert len(after) == 6 and len(kept) == 3
     assert spark.read.parquet(path).count() == 24
+
+
+def test_vectors_made_within_rows_equal_those_of_counted_tokens(spark):
+    from citesift.functions.models import embed, encoder
+
+    texts = ["l|1|red widget|N|O", "Straße ÉCOLE école", "", None, "12 34", "a a a b " * 9000, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: r.embedding for r in embed(df, "id", "text").collect()}
+    got = {r.id: r.v for r in df.repartition(2).select("id", encoder(spark, "text").alias("v")).collect()}
+    assert got == {i: want.get(i) for i in range(len(texts))} and got[0] is not None and got[4] is None
+
+
+def test_the_index_writes_no_tokens_and_shuffles_no_vectors(spark, tmp_path):
+    """One shuffle places the rows of a policy; vectors, sums and the first manifest need none of their own."""
+    path = tmp_path / "in"
+    path.mkdir()
+    _land(spark, str(path), {"a": [(i, f"red widget {i}") for i in range(50)]})
+    index = rx.PolicyIndex(spark, str(tmp_path / "state"))
+    index.run(str(path))
+    plan = index.vectors()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert spark.read.parquet(f"{tmp_path}/state/parts/epoch=1").count() == 50
