@@ -94,18 +94,25 @@ def _windows(length: int):
     return run
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with their texts, so that no more than a block of them is held as Python objects."""
+    for part, raw, offs in W.blocks(batch, "text"):
+        data, cuts = raw.tobytes(), offs.tolist()
+        yield part, [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each passage of an owner, joined by one space."""
     for batch in batches:
-        out: list[tuple[int, int, int, bytes]] = []
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for owner, text, runs in zip(batch.column("doc_id").to_pylist(), texts, batch.column("runs").to_pylist()):
-            words = (text or b"").split()
-            out += [(r["shard"], owner, len(words[r["first"]:r["last"]]), b" ".join(words[r["first"]:r["last"]])) for r in runs]
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["shard", "owner", "n_words", "words"])
+        for part, texts in _texts(batch):
+            out: list[tuple[int, int, int, bytes]] = []
+            for owner, text, runs in zip(part.column("doc_id").to_pylist(), texts, part.column("runs").to_pylist()):
+                words = text.split()
+                out += [(r["shard"], owner, len(words[r["first"]:r["last"]]), b" ".join(words[r["first"]:r["last"]])) for r in runs]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["shard", "owner", "n_words", "words"])
 
 
 class Automaton:
@@ -170,18 +177,19 @@ def _locate(length: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words outside all spans, joined by one space."""
     for batch in batches:
-        removed, kept = [], []
-        for text, groups in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
-            words = (text or b"").split()
-            gone = bytearray(len(words))
-            for g in groups:
-                for x in g:
-                    gone[x["first"]:x["last"]] = b"\1" * (x["last"] - x["first"])
-            removed.append(sum(gone))
-            kept.append(b" ".join([w for w, g in zip(words, gone) if not g]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h1"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc_id", "h1", "n_removed", "kept"])
+        for part, texts in _texts(batch):
+            removed, kept = [], []
+            for text, groups in zip(texts, part.column("spans").to_pylist()):
+                words = text.split()
+                gone = bytearray(len(words))
+                for g in groups:
+                    for x in g:
+                        gone[x["first"]:x["last"]] = b"\1" * (x["last"] - x["first"])
+                removed.append(sum(gone))
+                kept.append(b" ".join([w for w, g in zip(words, gone) if not g]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("h1"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["doc_id", "h1", "n_removed", "kept"])
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -82,3 +82,22 @@ def test_query_over_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()]
     got = op1_repeat_automata(spark, SF_MID).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(w[:4] for w in brute(rows))
+
+
+def test_passages_and_cuts_are_made_block_by_block():
+    """A batch of long texts is never held as Python objects whole: each block gives a batch of its own."""
+    import pyarrow as pa
+
+    from citesift.llm import repeat_automata as ra
+    from citesift.llm import words as W
+
+    text = " ".join(f"w{i}" for i in range(W.BLOCK_BYTES // 8))
+    n = 5
+    runs = pa.array([[{"shard": 3, "first": 2, "last": 5}]] * n, pa.list_(pa.struct([("shard", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])))
+    got = list(ra._passages(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n), runs], names=["doc_id", "text", "runs"])])))
+    assert len(got) > 1 and [r for b in got for r in b.to_pylist()] == [{"shard": 3, "owner": i, "n_words": 3, "words": b"w2 w3 w4"} for i in range(n)]
+    spans = pa.array([[[{"first": 0, "last": 3}]]] * n, pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
+    cut = list(ra._cut(iter([pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array([0] * n), pa.array([text] * n), spans], names=["doc_id", "h1", "text", "spans"])])))
+    assert len(cut) > 1
+    assert [(r["doc_id"], r["n_removed"], r["kept"]) for b in cut for r in b.to_pylist()] == [(i, 3, text.split(" ", 3)[3]) for i in range(n)]
