@@ -63,8 +63,10 @@ def nearest_lists(centres: np.ndarray, probes: int):
                 yield pd.Series([], dtype=object)
                 continue
             out = []
-            for a in range(0, len(s), 4096):
-                m = np.stack(s.iloc[a:a + 4096].to_numpy()).astype(np.float64)
+            # distances to all centres of a bounded number of rows at a time
+            step = max(1, (1 << 20) // len(centres))
+            for a in range(0, len(s), step):
+                m = np.stack(s.iloc[a:a + step].to_numpy()).astype(np.float64)
                 far = norms - 2.0 * (m @ centres.T)
                 near = np.argpartition(far, probes - 1, axis=1)[:, :probes]
                 order = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
@@ -141,7 +143,10 @@ class IvfIndex:
         if self.centres is None or not len(self.centres):
             return knn_join(queries, self.vectors(), k, query_keys=query_keys, corpus_key=self.key, vector_col=self.vector_col, round_digits=round_digits)
         probes = probes or self.probes or len(self.centres)
-        asked = queries.withColumn("list", F.explode(nearest_lists(self.centres, probes)(F.col(self.vector_col))))
+        # all lists need no order, so no row of all their numbers is made in Python
+        every = F.sequence(F.lit(0), F.lit(len(self.centres) - 1))
+        asked = queries.withColumn("list", F.explode(
+            every if probes >= len(self.centres) else nearest_lists(self.centres, probes)(F.col(self.vector_col))))
         asked = cut_lineage(asked.withColumn("_in", F.col("list")))
         # a row is in one list: the cut to k within a list loses nothing that the query could keep
         per_list = knn_join(asked, self._rows(), k, query_keys=[*query_keys, "_in"], corpus_key=self.key, vector_col=self.vector_col, scope_col="list")

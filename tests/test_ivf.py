@@ -79,3 +79,42 @@ def test_store_by_name(spark, tmp_path):
     store.upsert(_table(spark, 5, 9, first=500))
     asked = _table(spark, 4, 2).withColumnRenamed("id", "q")
     assert store.query(asked, 3, query_keys=["q"]).count() == 12 and store.vectors().count() == 205
+
+
+def test_working_memory_of_a_cell_is_bounded():
+    """A cell of a full block needs a few bounded matrices, not several of 8 million doubles."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from citesift.operators.knn import _block_kernel
+
+    rng = np.random.default_rng(3)
+    corpus = pd.DataFrame({"id": np.arange(40000), "embedding": list(rng.random((40000, 8), dtype=np.float32))})
+    asked = pd.DataFrame({"q": np.arange(300), "embedding": list(rng.random((300, 8), dtype=np.float32))})
+    for metric in ("l2sq", "cosine"):
+        kernel = _block_kernel(["q"], "id", "embedding", 5, metric, [])
+        tracemalloc.start()
+        kernel(asked, corpus)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64e6
+
+
+def test_all_lists_are_dealt_without_python(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from citesift.operators import ivf
+
+    rows = spark.range(60).select("id", F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"))
+    index = ivf.IvfIndex(spark, str(tmp_path / "lists")).build(rows, lists=6)
+
+    def never(*_):
+        raise AssertionError("an order of all lists was asked for")
+    kept, ivf.nearest_lists = ivf.nearest_lists, never
+    try:
+        got = index.search(rows.withColumnRenamed("id", "q"), 1, query_keys=["q"], probes=6).collect()
+    finally:
+        ivf.nearest_lists = kept
+    assert sorted((r["q"], r["id"]) for r in got) == [(i, i) for i in range(60)]
