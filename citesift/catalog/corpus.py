@@ -229,9 +229,11 @@ def manifest_replace(spark, sf_dir):
     o, li = _orders(spark, sf_dir)
     root = work_dir(spark, "manifest")
     write_snapshot(cp.manifest_of(cp.order_policies(o, li, 1)), root)
-    vectors, _ = cp.incremental_vectors(o, li)
+    # today's policies are made once; the diff is against the manifest as it is stored
+    today = cut_lineage(cp.order_policies(o, li, 2))
+    vectors, _ = cp.incremental_vectors(o, li, current=today, manifest=read_snapshot(spark, root))
     write_snapshot(vectors, work_dir(spark, "order-vectors"))
-    write_snapshot(cp.manifest_of(cp.order_policies(o, li, 2)), root)
+    write_snapshot(cp.manifest_of(today), root)
     return read_snapshot(spark, root).select("policy_id", "digest")
 
 

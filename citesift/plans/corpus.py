@@ -166,26 +166,30 @@ def numbered_order_lines(orders: DataFrame, lineitem: DataFrame, todo: DataFrame
     change the result.
     """
     keep2 = _kept_orders(orders, 2).select(F.col("o_orderkey").alias("policy_id")) if todo is None else todo
+    # a version only drops orders, so the most lines any raw order has bounds every group here
+    bound = largest_group(lineitem, ["l_orderkey"])
     parts = []
     for version, keep in ((1, _kept_orders(orders, 1).select(F.col("o_orderkey").alias("policy_id"))),
                           (2, keep2)):
-        parts.append(order_lines(lineitem, version)
-                     .join(keep.select(F.col("policy_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+        lines = order_lines(lineitem, version).join(keep.select(F.col("policy_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+        # numbered before the union: the join has dealt the lines by order, and the numbering needs no other shuffle
+        parts.append(ordinal_within(lines, ["l_orderkey"], ["l_linenumber", "line"], name="pos", group_bound=bound)
                      .withColumn("version", F.lit(version)))
-    lines = parts[0].unionByName(parts[1])
-    # a version only drops orders, so the most lines any raw order has bounds every group here
-    bound = largest_group(lineitem, ["l_orderkey"])
-    pos = ordinal_within(lines, ["version", "l_orderkey"], ["l_linenumber", "line"], name="pos", group_bound=bound)
+    pos = parts[0].unionByName(parts[1])
     return pos.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("pos").cast("string")).alias("id"),
                       F.col("l_orderkey").alias("policy_id"), "version", F.col("line").alias("text"))
 
 
-def incremental_vectors(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+def incremental_vectors(orders: DataFrame, lineitem: DataFrame, *, current: DataFrame | None = None,
+                        manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """JOB-2 core: (upserted vector table, diff).  Only new/changed policies are re-chunked (and would be
-    re-embedded); rows of removed policies and dropped clauses stay, as in the reference (Q8)."""
-    v1 = order_policies(orders, lineitem, 1)
-    v2 = order_policies(orders, lineitem, 2)
-    diff = manifest_diff(v2, manifest_of(v1))
+    re-embedded); rows of removed policies and dropped clauses stay, as in the reference (Q8).
+
+    ``current`` (version 2's policies) and ``manifest`` (version 1's) spare their making if the caller has stored them.
+    """
+    v1 = manifest if manifest is not None else manifest_of(order_policies(orders, lineitem, 1))
+    v2 = current if current is not None else order_policies(orders, lineitem, 2)
+    diff = manifest_diff(v2, v1)
     todo = diff.where(F.col("status").isin("new", "changed")).select("policy_id")
     chunks = numbered_order_lines(orders, lineitem, todo)
     existing = chunks.where(F.col("version") == 1)

@@ -44,3 +44,17 @@ def test_numbering_follows_line_then_text(spark):
     assert got == {(1, "1-1"): "900", (1, "1-2"): "100", (1, "1-3"): "300",
                    (2, "1-1"): "900", (2, "1-2"): "100", (2, "1-3"): "300", (2, "13-1"): "100"}
     assert {r["policy_id"] for r in rows if r["version"] == 1} == {1}
+
+
+def test_stored_policies_and_manifest_give_the_same_vectors(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+
+    o, li = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("orders", "lineitem"))
+    want, _ = cp.incremental_vectors(o, li)
+    old, today = cp.manifest_of(cp.order_policies(o, li, 1)), cp.order_policies(o, li, 2)
+
+    def never(*_):
+        raise AssertionError("policies that are stored were made again")
+    monkeypatch.setattr(cp, "order_policies", never)
+    got, _ = cp.incremental_vectors(o, li, current=today, manifest=old)
+    assert sorted(got.collect()) == sorted(want.collect())
