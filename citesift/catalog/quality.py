@@ -14,7 +14,7 @@ from citesift.operators import evaluation as ev
 from citesift.operators import quality as qa
 from citesift.operators.skew import hot_key_share, skewed_assignment
 from citesift.session import cut_lineage, work_dir
-from citesift.sources.nested import read_text_documents
+from citesift.sources.nested import read_text_documents, write_text_documents
 from citesift.sources.tables import read_table, register_parquet_view, table_path
 
 PIPELINE = "citesift"
@@ -246,10 +246,8 @@ SELECT count(*) AS n_files, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FRO
 def src_text_docs(spark, sf_dir):
     """SRC-2: documents landed as one ``.txt`` file each, scanned back whole (one row per file)."""
     path = work_dir(spark, "text-docs")
-    # so many files are moved into place by the tasks that wrote them, not one by one by the driver
-    (read_table(spark, sf_dir, "documents").select("text").write.mode("overwrite")
-     .option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path))
-    docs = read_text_documents(spark, path)
+    write_text_documents(read_table(spark, sf_dir, "documents").select("text"), path)
+    docs = read_text_documents(spark, path, recursive=True)
     return docs.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
 
 
