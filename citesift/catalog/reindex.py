@@ -26,9 +26,10 @@ cut AS (SELECT max(arrived) AS d2, max(arrived) - INTERVAL {rx.LAST_DAYS} DAY AS
 
 def indexed(spark, sf_dir):
     """The index after three runs, and each run's counts."""
-    rows = rx.arrivals(*(read_table(spark, sf_dir, t) for t in ("orders", "lineitem", "part")))
+    orders, lineitem, part = (read_table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    rows = rx.arrivals(orders, lineitem, part)
     path, index = work_dir(spark, "policy-files"), rx.PolicyIndex(spark, work_dir(spark, "policy-index"))
-    last = rows.agg(F.max("at")).first()[0]
+    last = rx.last_arrival(orders, lineitem)
     early = last - timedelta(days=rx.LAST_DAYS)
     rx.land(rows, path, until=early)
     counts = [index.run(path)]

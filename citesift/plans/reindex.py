@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.functions.models import encoder
+from citesift.operators.keyfilter import may_hold
 from citesift.operators.ordinal import ordinal_within
-from citesift.session import cut_lineage
+from citesift.session import cut_lineage, free_shuffles
 from citesift.sinks.snapshot import current_snapshot, fold_log, read_latest, read_snapshot, write_epoch, write_snapshot
 
 # fixed values: a row's SHA-256 enters the sums as 8 slices of 7 hex digits (28 bits each)
@@ -75,7 +76,7 @@ class PolicyIndex:
 
     def vectors(self) -> DataFrame:
         """``id, policy_id, text_sha, embedding``; rows of dropped clauses stay, as nothing is ever deleted."""
-        return read_latest(self.spark, f"{self.root}/vectors", ["id"], unique=True)
+        return read_latest(self.spark, f"{self.root}/vectors", ["id"], unique=True, within=["policy_id"])
 
     def fold(self) -> None:
         """Fold the manifest's and the vectors' runs, but the last, into one table each."""
@@ -101,7 +102,9 @@ class PolicyIndex:
         counts = {"files_read": len(paths), "rows_hashed": 0, "policies_reembedded": 0, "chunks_embedded": 0}
         if paths or stale.limit(1).count():
             moved = self._move(run, paths, stale, counts)
+            free_shuffles(spark)
             self._embed(run, paths, moved, left, counts)
+            free_shuffles(spark)
             files = left.unionByName(fresh.withColumn("run", F.lit(run)))
             write_snapshot(files, f"{self.root}/files")
         counts["policies_checked"] = self.manifest().count()
@@ -127,7 +130,10 @@ class PolicyIndex:
         if before is None:
             summed = delta.select("policy_id", *[F.col(f"d_{c}").alias(c) for c in SUMS])
         else:
-            summed = delta.join(before.select("policy_id", *SUMS), "policy_id", "left").select(
+            # the sums of policies that did not move stay where they are
+            delta = cut_lineage(delta)
+            before = before.where(may_hold(delta.select("policy_id"), ["policy_id"])).select("policy_id", *SUMS)
+            summed = delta.join(before, "policy_id", "left").select(
                 "policy_id", *[(F.col(f"d_{c}") + F.coalesce(c, F.lit(0))).alias(c) for c in SUMS])
         # a policy without rows stays in the log with a count of 0: that is how later runs know it went
         write_epoch(summed.withColumn("digest", F.when(F.col("n") > 0, digest_of_sums())), f"{self.root}/manifest", run)
@@ -137,15 +143,16 @@ class PolicyIndex:
         """Embed the rows of the policies that moved (``policy_id``, and ``n`` rows each), from the files that hold them."""
         ids = moved.select("policy_id")
         if run > 1:
+            touched = may_hold(ids, ["policy_id"])
             parts = self.spark.read.parquet(f"{self.root}/parts")
             held = F.broadcast(left.withColumnRenamed("run", "epoch"))
             held = parts.join(held, ["path", "epoch"], "left_semi").unionByName(parts.where(F.col("epoch") == run))
-            paths = [r["path"] for r in held.join(ids, "policy_id", "left_semi").select("path").distinct().collect()]
+            paths = [r["path"] for r in held.where(touched).join(ids, "policy_id", "left_semi").select("path").distinct().collect()]
         if not paths:
             return
         rows = self.spark.read.parquet(*paths).select("policy_id", F.coalesce("text", F.lit("")).alias("text"))
         # the first run moves every policy
-        rows = rows.join(ids, "policy_id", "left_semi") if run > 1 else rows.where(F.col("policy_id").isNotNull())
+        rows = rows.where(touched).join(ids, "policy_id", "left_semi") if run > 1 else rows.where(F.col("policy_id").isNotNull())
         found, chunks = moved.agg(F.count(F.lit(1)).alias("policies"), F.max("n").alias("most")).first(), Observation()
         placed = ordinal_within(rows, ["policy_id"], ["text"], name="pos", group_bound=found["most"] or 0)
         # ids are unique, so a row's vector is made where the row is
@@ -175,6 +182,11 @@ def arrivals(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFra
     return head.unionByName(line)
 
 
+def last_arrival(orders: DataFrame, lineitem: DataFrame):
+    """The latest ``at`` of :func:`arrivals`; no part is looked up for it."""
+    return orders.select(F.col("o_orderdate").alias("at")).unionByName(lineitem.select(F.col("l_shipdate").alias("at"))).agg(F.max("at")).first()[0]
+
+
 def land(rows: DataFrame, path: str, *, until=None, since=None) -> None:
     """Write the months of ``rows`` from ``since`` on, as far as they have arrived by ``until``; other months stay untouched."""
     month = F.date_format("at", "yyyy-MM")
@@ -184,4 +196,5 @@ def land(rows: DataFrame, path: str, *, until=None, since=None) -> None:
         rows = rows.where(month >= F.date_format(F.lit(since), "yyyy-MM"))
     # a month goes into as many files as its size asks for
     rows.select("policy_id", "text", month.alias("month")).hint("rebalance", "month").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+        "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(path)
+    free_shuffles(rows.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -80,6 +81,16 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of queries that are done.
+
+    Spark deletes them once the driver's JVM has found that nothing refers to them, which may be long after where its heap
+    fills slowly; until then they lie on the executors' disks beside those of the steps that follow.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

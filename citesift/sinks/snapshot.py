@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citesift.operators.keyfilter import may_hold
 from citesift.session import cut_lineage
 
 
@@ -89,9 +90,9 @@ def write_epoch(df: DataFrame, root: str, epoch: int) -> None:
     """Write one micro-batch's rows as ``<root>/epoch=<n>``.
 
     Only the batch's own rows are written (never the accumulated table), and a replayed epoch overwrites
-    its own folder and nothing else, so the log is exactly-once under retries.
+    its own folder and nothing else, so the log is exactly-once under retries.  Digests in hex halve under zstd.
     """
-    df.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/epoch={epoch}")
 
 
 def _folded(spark: SparkSession, root: str, before: int | None) -> int | None:
@@ -100,7 +101,8 @@ def _folded(spark: SparkSession, root: str, before: int | None) -> int | None:
     return max((n for n in done if before is None or n < before), default=None)
 
 
-def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None, unique: bool = False) -> DataFrame | None:
+def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int | None = None, unique: bool = False,
+                within: list[str] | None = None) -> DataFrame | None:
     """The current table of an epoch log: per key, the row of the latest epoch (None if never written).
 
     ``before`` reads the table as it was before that epoch, so a replayed micro-batch sees the same state as its first
@@ -108,13 +110,14 @@ def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int |
     written in many epochs sends one row per partition.
 
     ``unique`` says that no epoch holds a key twice: the oldest rows, usually nearly all, are then not grouped but only
-    held against the keys of the epochs after them, and columns that are not asked for are not read.
+    held against the keys of the epochs after them, and columns that are not asked for are not read.  ``within`` names
+    columns that follow from the key and have fewer values, such as the document of a clause.
     """
     fold = _folded(spark, root, before)
     epochs = sorted(n for n in _numbers(spark, root, "epoch=") if (before is None or n < before) and (fold is None or n > fold))
     if unique and (epochs or fold is not None):
         oldest = f"{root}.folds/upto={fold}" if fold is not None else f"{root}/epoch={epochs.pop(0)}"
-        return _overlaid(spark.read.parquet(oldest), [spark.read.parquet(f"{root}/epoch={n}") for n in epochs], key)
+        return _overlaid(spark.read.parquet(oldest), [spark.read.parquet(f"{root}/epoch={n}") for n in epochs], key, within or key)
     parts = []
     if epochs:
         parts.append(spark.read.option("basePath", root).parquet(*[f"{root}/epoch={n}" for n in epochs]).withColumn("epoch", F.col("epoch").cast("bigint")))
@@ -128,8 +131,11 @@ def read_latest(spark: SparkSession, root: str, key: list[str], *, before: int |
     return latest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
-def _overlaid(oldest: DataFrame, later: list[DataFrame], key: list[str]) -> DataFrame:
-    """``oldest`` with the rows of ``later`` (in order of time) put over those of equal key; no table holds a key twice."""
+def _overlaid(oldest: DataFrame, later: list[DataFrame], key: list[str], within: list[str]) -> DataFrame:
+    """``oldest`` with the rows of ``later`` (in order of time) put over those of equal key; no table holds a key twice.
+
+    Only rows whose ``within`` may be among those of later rows are shuffled to be held against them; the others stay.
+    """
     if not later:
         return oldest
     cols = [c for c in oldest.columns if c not in key]
@@ -138,7 +144,8 @@ def _overlaid(oldest: DataFrame, later: list[DataFrame], key: list[str]) -> Data
         log = reduce(DataFrame.unionByName, [t.withColumn("epoch", F.lit(i)) for i, t in enumerate(later)])
         news = log.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_v")).select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
     keys = reduce(DataFrame.unionByName, [t.select(*key) for t in later])
-    return oldest.select(*key, *cols).join(keys, key, "left_anti").unionByName(news)
+    touched, oldest = may_hold(reduce(DataFrame.unionByName, [t.select(*within) for t in later]), within), oldest.select(*key, *cols)
+    return oldest.where(~touched).unionByName(oldest.where(touched).join(keys, key, "left_anti")).unionByName(news)
 
 
 def _nothing_before(spark: SparkSession, root: str) -> DataFrame | None:
@@ -160,7 +167,7 @@ def fold_log(spark: SparkSession, root: str, key: list[str], *, keep: int = 1) -
         return last
     upto = epochs[-1]
     table = read_latest(spark, root, key, before=upto + 1)
-    table.write.mode("overwrite").parquet(f"{root}.folds/upto={upto}")
+    table.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}.folds/upto={upto}")
     _commit(spark, f"{root}.folds", upto)
     if last is not None:
         fs, _, jvm = _fs(spark, root)

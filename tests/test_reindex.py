@@ -112,3 +112,54 @@ def test_the_index_writes_no_tokens_and_shuffles_no_vectors(spark, tmp_path):
     plan = index.vectors()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
     assert spark.read.parquet(f"{tmp_path}/state/parts/epoch=1").count() == 50
+
+
+def test_a_key_filter_misses_no_key_and_passes_few_others(spark, monkeypatch):
+    from citesift.operators import keyfilter
+
+    keys = spark.createDataFrame([(i * 7, f"k{i}") for i in range(200)] + [(None, "k"), (5, None)], "a bigint, b string")
+    rows = keys.unionByName(spark.range(10_000, 15_000).select(F.col("id").alias("a"), F.lit("other").alias("b")))
+    for bits, most in ((keyfilter.MOST_BITS, 600), (1 << 13, 600), (8, 6000)):
+        monkeypatch.setattr(keyfilter, "MOST_BITS", bits)
+        passed = rows.where(keyfilter.may_hold(keys, ["a", "b"]))
+        assert passed.join(keys.distinct(), (rows.a.eqNullSafe(keys.a)) & (rows.b.eqNullSafe(keys.b)), "left_semi").count() == 202
+        assert 202 <= passed.count() <= most
+    assert rows.where(keyfilter.may_hold(keys.limit(0), ["a", "b"])).count() == 0
+
+
+def test_later_rows_lie_over_older_ones_and_the_rest_is_not_shuffled(spark, tmp_path, monkeypatch):
+    from citesift.operators import keyfilter
+    from citesift.sinks.snapshot import fold_log, read_latest, write_epoch
+
+    root = str(tmp_path / "log")
+    epochs = [[(f"{p}-{i}", p, f"e{e}") for p in ps for i in range(n)] for e, (ps, n) in enumerate([(range(300), 4), ([3, 5, 900], 2), ([5, 7], 5)])]
+    for e, rows in enumerate(epochs, 1):
+        write_epoch(spark.createDataFrame(rows, "id string, doc int, v string"), root, e)
+    want = {r[0]: r for rows in epochs for r in rows}
+    for bits in (keyfilter.MOST_BITS, 8):
+        monkeypatch.setattr(keyfilter, "MOST_BITS", bits)
+        got = read_latest(spark, root, ["id"], unique=True, within=["doc"])
+        assert {r.id: tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert {r.id: tuple(r) for r in read_latest(spark, root, ["id"], unique=True).collect()} == want
+    # the rows that no later one can replace reach the result by a branch of their own
+    monkeypatch.undo()
+    sent = []
+    held = keyfilter.may_hold
+    monkeypatch.setattr("citesift.sinks.snapshot.may_hold", lambda keys, cols: sent.append((keys, cols)) or held(keys, cols))
+    read_latest(spark, root, ["id"], unique=True, within=["doc"])
+    (keys, cols), = sent
+    assert cols == ["doc"] and spark.read.parquet(f"{root}/epoch=1").where(held(keys, cols)).count() < 30
+    fold_log(spark, root, ["id"])
+    assert {r.id: tuple(r) for r in read_latest(spark, root, ["id"], unique=True, within=["doc"]).collect()} == want
+
+
+def test_logs_and_landed_files_are_compressed_well(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.createDataFrame([(i, f"2020-0{1 + i % 3}-15", f"t{i}") for i in range(24)], "policy_id bigint, at string, text string").withColumn(
+        "at", F.col("at").cast("timestamp"))
+    rx.land(rows, str(tmp_path / "in"), until="2020-12-31")
+    rx.PolicyIndex(spark, str(tmp_path / "state")).run(str(tmp_path / "in"))
+    for t in ("in", "state/parts", "state/manifest", "state/vectors"):
+        files = [f for f in (tmp_path / t).rglob("*.parquet")]
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
